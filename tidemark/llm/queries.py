@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import bpe, exact_dedup, packing, topk_search, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_warc_archive": warc_archive.op5_warc_archive,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_topk_search": topk_search.op9_topk_search,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op9_topk_search": topk_search.ORACLE,
 }
