@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, packing, topk_search, warc_archive
+from tidemark.llm import bpe, exact_dedup, packing, quality, topk_search, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_quality": quality.op1_pu_quality,
     "op5_warc_archive": warc_archive.op5_warc_archive,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
