@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, packing, quality, secrets, topk_search, warc_archive
+from tidemark.llm import bpe, exact_dedup, packing, quality, secrets, topk_search, toxicity, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": quality.op1_pu_quality,
+    "op2_birnn_toxicity": toxicity.op2_birnn_toxicity,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op5_warc_archive": warc_archive.op5_warc_archive,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
