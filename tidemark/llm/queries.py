@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets, topk_search, toxicity, warc_archive
+from tidemark.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets, substring_dedup, topk_search, toxicity, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": quality.op1_pu_quality,
     "op2_birnn_toxicity": toxicity.op2_birnn_toxicity,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_fm_substring_dedup": substring_dedup.op4_fm_substring_dedup,
     "op5_warc_archive": warc_archive.op5_warc_archive,
     "op6_odd_sketch_dedup": near_dedup.op6_odd_sketch_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
