@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, new_path, table, written
@@ -26,8 +26,11 @@ HOT_SHARE = 1 / 1000
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the SHA-256 (binary) of each normalised text."""
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"))
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
 
 
 class DigestIndex:
@@ -82,6 +85,26 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     )
 
 
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, all columns as they are; of rows that repeat an id and text, one."""
+    names = docs.columns
+    kept = exact_dedup(docs, None, id_col, text_col).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    kept = written(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("__n")), "kept")
+    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), _digest(text_col).alias("__digest"))
+    kept = kept.withColumnsRenamed({"doc_id": "__kept_id", "digest": "__kept_digest"})
+    key = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
+    out = rows.join(kept.where("__n = 1"), key, "left_semi").select(*map(_quoted, names))
+    again = kept.where("__n > 1")
+    if again.head(1):
+        more = rows.join(again, key, "left_semi").dropDuplicates(["__id", "__digest"]).select(*map(_quoted, names))
+        out = out.union(more)
+    return out
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -192,6 +192,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_dedup keeps, all columns as they are."""
+    gone = near_dedup(docs, shingle, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op6_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 

@@ -130,10 +130,15 @@ def length_class(n: Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The same for rows of the same id and text only."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, base (base spans), runs (candidates with their statistics), letters and changes
     (counts for the corpus)."""
-    schema = """doc_id long, base array<struct<start:int,end:int,kind:string>>,
+    schema = """doc_id long, key long, base array<struct<start:int,end:int,kind:string>>,
         runs array<struct<start:int,end:int,encoding:string,chi:double,changes:int,serial:double>>, letters array<long>, changes long"""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,9 +158,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 found.append([dict(zip(("start", "end", "encoding", "chi", "changes", "serial"), x, strict=True)) for x in more])
             n = len(pdf)
             # the batch's counts stand in its first row
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": base, "runs": found, "letters": [letters.tolist()] * min(n, 1) + [[]] * (n - 1), "changes": [changes] * min(n, 1) + [0] * (n - 1)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "base": base, "runs": found, "letters": [letters.tolist()] * min(n, 1) + [[]] * (n - 1), "changes": [changes] * min(n, 1) + [0] * (n - 1)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("key"))
     return rows.mapInPandas(run, schema)
 
 
@@ -175,8 +180,8 @@ def p_values(scanned: DataFrame) -> DataFrame:
 
         return found.map(lambda xs: [one(x) for x in xs])
 
-    some = scanned.where(F.size("runs") > 0).select("doc_id", "base", "runs", p("runs").alias("p"))
-    none = scanned.where(F.size("runs") == 0).select("doc_id", "base", "runs", F.array().cast("array<double>").alias("p"))
+    some = scanned.where(F.size("runs") > 0).select("doc_id", "key", "base", "runs", p("runs").alias("p"))
+    none = scanned.where(F.size("runs") == 0).select("doc_id", "key", "base", "runs", F.array().cast("array<double>").alias("p"))
     return some.unionByName(none)
 
 
@@ -201,7 +206,7 @@ def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """A row per row of docs: doc_id and spans, an array of (start, end, kind) by start, then kind."""
+    """A row per row of docs: doc_id, key (row_key) and spans, an array of (start, end, kind) by start, then kind."""
     scanned = written(scan(docs, id_col, text_col), "scan")
     scored = written(p_values(scanned), "p")
     dropped(scanned)
@@ -211,7 +216,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr
     rank = {k: i for i, k in enumerate(KINDS)}
     keyed = F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), _rank(s["kind"], rank).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return scored.select("doc_id", ordered.alias("spans"))
+    return scored.select("doc_id", "key", ordered.alias("spans"))
 
 
 def _limit(n: Column, limit: dict[int, float]) -> Column:
@@ -232,14 +237,27 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
-    """text with each stretch of overlapping spans replaced by mark."""
-    out, at = [], 0
-    for s, e in sorted(spans):
-        if s >= at:
-            out += [text[at:s], mark]
-        at = max(at, e)
-    return "".join([*out, text[at:]])
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """text with each span (by start) replaced by mark; of overlapping spans the later ones add nothing but their rest."""
+    begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        more = F.when(x["start"] >= s["at"], F.concat(s["done"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["done"])
+        return F.struct(more.alias("done"), F.greatest(s["at"], x["end"]).alias("at"))
+
+    return F.aggregate(spans, begin, step, lambda s: F.concat(s["done"], F.substr(text, s["at"] + 1)))
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with the spans of secrets() masked in the text (and its length, where there is such a column, made to fit);
+    all other rows and columns as they are."""
+    found = secrets(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
+    rows = docs.join(found.hint("shuffle_hash"), row_key(id_col, text_col) == F.col("__key"), "left")
+    hit = F.col("__spans").isNotNull()
+    rows = rows.withColumn(text_col, F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    if length_col in docs.columns:
+        rows = rows.withColumn(length_col, F.when(hit, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

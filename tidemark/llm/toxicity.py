@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -394,6 +395,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold, all columns as they are; without a model, all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array(model.score(texts) < threshold, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs
+
+
 def op2_birnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
