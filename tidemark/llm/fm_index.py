@@ -45,7 +45,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         after = np.zeros(n, dtype=np.int64)
         after[:-step] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
         if new[order[-1]] == n - 1 or 2 * step >= n:

@@ -36,29 +36,57 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mix64, table, word_bounds, word_hashes, written
 from tidemark.llm.fm_index import FmIndex
 
-WINDOW, GRAM, SHARD_WORDS, HOT = 35, 8, 300_000, 200
-
-
-def segments(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the word hashes of one document: least hash, first and last window of each segment, and whether the hash stands
-    at several places in it."""
-    gram = min(GRAM, window)
-    if len(words) < window:
-        return (np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(2)), np.zeros(0, dtype=bool))
-    n = len(words) - gram + 1
-    grams = np.full(n, gram, dtype=np.uint64)
-    for i in range(gram):
-        grams = mix64(grams * np.uint64(0x9E3779B97F4A7C15) + words[i : n + i])
-    place = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
-    least = grams[place]
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    last = np.r_[first[1:], len(least)] - 1
-    return least[first], first, last, place[last] != place[first]
-
-
-def _words(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return word_hashes(data, *word_bounds(data))
+WINDOW, GRAM, SHARD_WORDS, HOT, CHUNK = 35, 8, 300_000, 5_000, 1 << 19
+
+
+class Segments:
+    """The segments of a chunk of texts, document by document: doc (index of the text), h (least hash), first and last
+    (word numbers, within the document, at which its first and last window start), twice (whether the hash stands at
+    several places in it); and the bytes of any segment, its words joined by single spaces."""
+
+    def __init__(self, texts: list[str], window: int):
+        docs = [b" ".join(t.encode("utf-8", "surrogatepass").split()) for t in texts]
+        self.bytes = b" ".join(docs) + b" "
+        data = np.frombuffer(self.bytes, dtype=np.uint8)
+        self.starts, self.ends = word_bounds(data)
+        words = word_hashes(data, self.starts, self.ends)
+        of_word = np.searchsorted(np.cumsum([len(d) + 1 for d in docs]), self.starts, side="right")
+        self.begin = np.searchsorted(of_word, np.arange(len(docs)))  # each document's first word
+        gram, n = min(GRAM, window), len(words) - window + 1
+        if n < 1:
+            self.doc = self.first = self.last = np.zeros(0, dtype=np.int64)
+            self.h, self.twice = self.doc, self.doc > 0
+            return
+        grams = words
+        for i in range(1, gram):
+            grams = mix64(grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[i:])
+        span = window - gram + 1  # grams in a window
+        least, width = grams, 1
+        while 2 * width <= span:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        if width < span:
+            least = np.minimum(least[: len(grams) - span + 1], least[span - width : len(grams) - width + 1])
+        whole = of_word[:n] == of_word[window - 1 :]  # windows that lie within one document
+        new = np.r_[True, (least[1:] != least[:-1]) | (of_word[1:n] != of_word[: n - 1])]
+        first = np.flatnonzero(whole & new)
+        ends = np.flatnonzero(whole & np.r_[new[1:] | ~whole[1:], True])
+        around = np.arange(span)
+        left = first + grams[first[:, None] + around].argmin(axis=1)
+        right = ends + span - 1 - grams[ends[:, None] + around[::-1]].argmin(axis=1)
+        self.doc, self.h, self.twice = of_word[first], least[first].view(np.int64), left != right
+        self.first, self.last = first - self.begin[self.doc], ends - self.begin[self.doc]
+        self.window = window
+
+    def text(self, i: int) -> bytes:
+        at = self.begin[self.doc[i]]
+        return self.bytes[self.starts[at + self.first[i]] : self.ends[at + self.last[i] + self.window - 1]]
+
+
+def chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """pdf in pieces of about CHUNK characters of text."""
+    piece = (np.cumsum([len(t) for t in pdf["text"]]) - 1) // CHUNK
+    for _, own in pdf.groupby(piece, sort=False):
+        yield own
 
 
 def repeated_in_shard(texts: list[bytes], weights: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
@@ -78,22 +106,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [segments(_words(t), window) for t in pdf["text"]]
-            size = [len(f[0]) for f in found]
-            yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy(), size), "h": np.concatenate([f[0] for f in found]).view(np.int64), "c": 1 + np.concatenate([f[3] for f in found])}) if found else pd.DataFrame({"k": [], "h": [], "c": []})
+            for own in chunks(pdf):
+                found = Segments(own["text"].tolist(), window)
+                yield pd.DataFrame({"k": own["k"].to_numpy()[found.doc], "h": found.h, "c": found.twice + np.int32(1)})
 
     anchors = written(texts.select("k", "text").mapInPandas(least, "k long, h long, c int"), "anchors")
     shared = anchors.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
     of_doc = anchors.select("k", "h").join(shared, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("hs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tag = lambda h, doc: mix64(h.view(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for pdf in batches:
-            for k, text, hs in zip(pdf["k"], pdf["text"], pdf["hs"], strict=True):
-                h, first, last, _ = segments(_words(text), window)
-                h = h.view(np.int64)
-                own = np.flatnonzero(np.isin(h, hs))
-                words = text.encode("utf-8", "surrogatepass").split()
-                yield pd.DataFrame({"k": k, "start": first[own], "h": h[own], "seg": [b" ".join(words[first[i] : last[i] + window]) for i in own]})
+            for own in chunks(pdf):
+                found = Segments(own["text"].tolist(), window)
+                hs = own["hs"].tolist()
+                wanted = tag(np.concatenate([np.asarray(h, dtype=np.int64) for h in hs]), np.repeat(np.arange(len(hs)), [len(h) for h in hs]))
+                pick = np.flatnonzero(np.isin(tag(found.h, found.doc), wanted))
+                yield pd.DataFrame({"k": own["k"].to_numpy()[found.doc[pick]], "start": found.first[pick].astype(np.int32), "h": found.h[pick], "seg": [found.text(i) for i in pick.tolist()]})
 
     found = texts.select("k", "text").join(of_doc.hint("shuffle_hash"), "k").mapInPandas(cut, "k long, start int, h long, seg binary")
     keyed = found.select("k", "start", "h", "seg", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg").alias("s2"))
@@ -104,11 +133,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for seg, weight, s1, s2 in zip(pdf["seg"], pdf["weight"], pdf["s1"], pdf["s2"], strict=True):
                 words, at = bytes(seg).split(), {}
                 for i in range(len(words) - window + 1):
                     at.setdefault(b" ".join(words[i : i + window]), []).append(i)
-                yield pd.DataFrame({"seg": list(at), "weight": [weight * len(x) for x in at.values()], "s1": s1, "s2": s2, "at": list(at.values())})
+                out += [(w, weight * len(x), s1, s2, x) for w, x in at.items()]
+            yield pd.DataFrame(out, columns=["seg", "weight", "s1", "s2", "at"])
 
     split = distinct.join(hot, "h", "left_semi").mapInPandas(windows, "seg binary, weight long, s1 long, s2 long, at array<int>")
     split = split.select("weight", "s1", "s2", "at", F.xxhash64("seg").alias("w1"), F.xxhash64(F.lit(1), "seg").alias("w2"), "seg")
