@@ -1,15 +1,18 @@
 """Near-duplicate documents: banded MinHash candidates, verified by odd sketches, confirmed on the full shingle sets.
 
-One pass over the texts gives each document the size and a 128-bit digest of its shingle set, SAMPLES MinHash values
-folded into BANDS band keys, and an odd sketch: a bitmap of BITS bits in which each MinHash value flips one bit, so that
-the population count of the XOR of two sketches tells how many values differ. Documents with the same set are one class;
+One pass over the texts gives each document the size and a 128-bit digest of its shingle set, the keys of BANDS bands of
+MinHash values, and an odd sketch: its bottom-k MinHash sample folded into a bitmap of BITS bits, where each value of the
+sample flips one bit. The population count of the XOR of two sketches never exceeds the number of values by which the
+samples differ. Up to SAMPLE shingles the sample is the set itself, so a count above what the similarity allows rules a
+pair out for certain; above, the limit leaves six deviations of the sampling. Documents with the same set are one class;
 only its representative (the least id) goes on.
 
 In a bucket of a band no list of all pairs is made. Every member is paired with one leader per bucket (the least of its
 ids, XORed with one of ORDERS constants, so leaders differ between bands). Pairs whose sketches rule the similarity out
 are passed over; the others are confirmed on the full sets. Members of a bucket that these links leave in different
-components are then paired with each other, so no link between different sets is lost to the choice of leaders. A pair of
-similarity 0.8 shares a bucket with a probability of 1 - 5e-8.
+components are then compared with each other by their sketches, each pair in the first band that it shares, so no link
+between different sets is lost to the choice of leaders. A pair of similarity 0.8 shares a bucket with a probability of
+1 - 5e-8.
 
 Defined cases: A-Z are lower-cased; a set is of distinct runs of `shingle` words (fewer words: the whole sequence, as one);
 a null, empty or blank text has an empty set and is linked with nothing; rows that repeat an id count as one document
@@ -19,6 +22,8 @@ is kept. Extra columns are ignored; an empty table gives an empty result. Ties:
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +31,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TO_LOWER, dropped, mix64, table, word_bounds, word_hashes, written
+from tidemark.llm.common import TO_LOWER, mix64, table, word_bounds, word_hashes, written
 from tidemark.llm.components import components
 
-BANDS, ROWS, BITS, CHUNK = 32, 4, 1024, 1 << 19
+BANDS, ROWS, SAMPLE, BITS, CHUNK = 32, 4, 1024, 1024, 1 << 19
 SAMPLES = BANDS * ROWS
-#: A pair goes on if its sketches estimate a similarity of at least the threshold less this margin: five deviations.
-MARGIN = 0.2
 HOT_SHARE = 1 / 1000
 ORDERS = [int(x) for x in mix64(np.arange(101, 105, dtype=np.uint64)) >> np.uint64(2)]
 _FLIP = (mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -70,21 +73,28 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return (key & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
 
 
-def odd_sketches(values: np.ndarray) -> np.ndarray:
-    """[set, BITS / 64]: bit by bit the parity of the MinHash values that fall there."""
-    sample = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
-    at = (mix64(values.astype(np.uint64) | sample[None, :]) % np.uint64(BITS)).astype(np.int64)
-    flips = np.bincount((at + np.arange(len(values))[:, None] * BITS).ravel(), minlength=len(values) * BITS)
-    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(values), BITS // 64)
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, BITS / 64]: bit by bit the parity of the least SAMPLE values of the set that fall there."""
+    samples = [s[:SAMPLE] for s in sets]
+    at = (mix64(np.concatenate(samples)) % np.uint64(BITS)).astype(np.int64)
+    at += np.repeat(np.arange(len(sets)) * BITS, [len(s) for s in samples])
+    flips = np.bincount(at, minlength=len(sets) * BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), BITS // 64)
 
 
-def most_differing_bits(similarity: float) -> int:
-    """The population count of the XOR at which the estimate falls to this similarity."""
-    return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
+def differing_bits(a: Column, b: Column) -> Column:
+    """The population count of the XOR, spelled out so that it is compiled."""
+    return functools.reduce(operator.add, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64)))
 
 
-def differing_bits(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+def may_link(nu: Column, nv: Column, su: Column, sv: Column, percent: int) -> Column:
+    """Neither the sizes nor the sketches rule out that the pair is alike."""
+    large, small = F.greatest(nu, nv), F.least(nu, nv)
+    most = (nu + nv) * F.lit((100 - percent) / (100 + percent))  # by how many shingles the sets of a link may differ
+    a, b = (F.least(F.lit(1.0), F.lit(float(SAMPLE)) / n) for n in (large, small))  # the shares that were sampled
+    expected = a * most + (b - a) * small
+    limit = F.when(large <= SAMPLE, most + 1e-6).otherwise(expected + 6 * F.sqrt(expected) + 6)
+    return (100 * small >= percent * large) & (differing_bits(su, sv) <= limit)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[slice]:
@@ -110,7 +120,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 keys, sketch = [None] * len(sets), [None] * len(sets)
                 if some:
                     values = min_hashes([sets[i] for i in some])
-                    for i, k, s in zip(some, band_keys(values), odd_sketches(values), strict=True):
+                    for i, k, s in zip(some, band_keys(values), odd_sketches([sets[i] for i in some]), strict=True):
                         keys[i], sketch[i] = k, s
                 digest = [(s.sum(dtype=np.uint64), mix64(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)) for s in sets]
                 h = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -119,19 +129,18 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (u, v) the links (u, v), written."""
-    limit = most_differing_bits(percent / 100 - MARGIN)
-    a, b = (sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "uv")
-    likely = pairs.join(a, "u").join(b, "v").where(differing_bits(F.col("su"), F.col("sv")) <= limit).select("u", "v")
-    likely = written(likely.distinct(), "pairs")
-    needed = likely.select(F.col("u").alias("doc_id")).union(likely.select(F.col("v").alias("doc_id"))).distinct()
+def full_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and s, its whole shingle set as bytes, of the documents of these ids, written."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingle_set(t, shingle).tobytes() for t in pdf["text"]]})
 
-    full = written(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary"), "sets")
+    return written(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) those whose full sets are alike, written."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,10 +156,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, shingle: int
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pdf.loc[np.array(keep, dtype=bool), ["u", "v"]]
 
-    a, b = full.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), full.select(F.col("doc_id").alias("v"), F.col("s").alias("b"))
-    links = written(likely.join(a, "u").join(b, "v").mapInPandas(check, "u long, v long"), "links")
-    dropped(full, likely)
-    return links
+    a, b = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b"))
+    return written(pairs.join(a, "u").join(b, "v").mapInPandas(check, "u long, v long"), "links")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,26 +166,30 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     rows = written(signatures(texts, shingle), "signatures")
     named = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
-    reps = written(named.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "keys", "sketch"), "reps")
+    reps = written(named.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "n", "keys", "sketch"), "reps")
     order = F.element_at(F.array(*[F.lit(x) for x in ORDERS]), (F.col("bucket").bitwiseAND(len(ORDERS) - 1) + 1).cast("int"))
     buckets = reps.select(F.explode("keys").alias("bucket"), "doc_id")
     leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("doc_id").bitwiseXOR(order)).alias("m"))
     leaders = leaders.where("n > 1").select("bucket", F.col("m").bitwiseXOR(order).alias("leader"))
     shared = written(buckets.join(leaders, "bucket"), "buckets")  # only buckets of two or more
-    ordered = [F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")]
-    sketches = reps.select("doc_id", "sketch")
-    links = confirm(shared.where("doc_id <> leader").select(*ordered).distinct(), texts, sketches, shingle, percent)
+    sets = full_sets(texts, shared.select("doc_id").distinct(), shingle)
+    a, b = (reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
+    likely = may_link(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv"), percent)
+    ordered = shared.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
+    links = confirm(ordered.join(a, "u").join(b, "v").where(likely).select("u", "v"), sets, percent)
     found = written(components(links), "components")
     # members of one bucket that are still apart
     at = shared.select("bucket", "doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
     at = at.select("bucket", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     apart = at.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-    at = written(at.join(apart, "bucket", "left_semi").join(sketches, "doc_id"), "apart")
-    x, y = (at.select("bucket", F.col("doc_id").alias(c), F.col("c").alias(f"c{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
-    near = differing_bits(F.col("su"), F.col("sv")) <= most_differing_bits(percent / 100 - MARGIN)
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
-    more = confirm(rest, texts, sketches, shingle, percent)
-    if more.head(1):
+    halves = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
+    at = written(at.join(apart, "bucket", "left_semi").join(reps.select("doc_id", "n", "sketch", halves.alias("keys")), "doc_id"), "apart")
+    x, y = (at.select("bucket", *(F.col(name).alias(short + c) for name, short in (("doc_id", ""), ("c", "c"), ("n", "n"), ("sketch", "s"), ("keys", "k")))) for c in "uv")
+    first_shared = F.coalesce(*(F.when(F.col("ku")[i] == F.col("kv")[i], F.lit(i)) for i in range(BANDS)))
+    cross = (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & likely & (first_shared == x["bucket"].bitwiseAND(BANDS - 1))
+    rest = written(x.join(y, cross).select("u", "v").distinct(), "rest")
+    if rest.head(1):
+        more = confirm(rest, sets, percent)
         found = written(components(links.union(more)), "components")
     known = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rows", F.coalesce("component", "rep").alias("component_id"))
     known = written(known, "known")
