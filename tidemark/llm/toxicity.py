@@ -6,7 +6,8 @@ for its character 4-grams: mean, largest, and the mean of their learned vectors)
 window of WINDOW words in both directions; attention pools their states into one logit. Every document is covered by
 windows overlapping by half, all of which are scored; the highest counts, calibrated on the training documents.
 
-Training takes at most SAMPLE labelled rows of each class outside the held-out fold (those of the least hash of the id).
+Training takes at most SAMPLE labelled rows of each class outside the held-out fold (those of the least hash of the id;
+texts of over LONGEST characters are left out).
 Labels belong to documents, so windows are chosen in rounds: of a toxic document those that score highest, of a clean one
 the highest, a random one, and one whose most suspect words are repeated all through it. A training document's own counts are taken out of the frequencies it sees.
 
@@ -32,8 +33,8 @@ from tidemark.llm.common import TO_LOWER, mix64, table, word_hashes
 from tidemark.llm.quality import held_out
 
 WINDOW, STRIDE, HIDDEN, VECTOR, THRESHOLD = 32, 16, 8, 4, 0.5
-SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 2000, 1 << 17, 1 << 16, 1 << 12, 4.0, 3.0
-ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 3, 6, 128, 0.01, 1e-4, 3e-2, 2 << 20, 1 << 20
+SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 1000, 1 << 17, 1 << 16, 1 << 12, 4.0, 3.0
+LONGEST, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 20_000, 3, 5, 128, 0.01, 1e-4, 3e-2, 2 << 20, 1 << 20
 INPUT = 4 + 2 * VECTOR
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -273,8 +274,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
     pairs = np.unique(w.text * np.int64(n_words) + w.word)
     pair_doc, pair_word = pairs // n_words, pairs % n_words
     letters = w.length[pair_word]
-    flat = np.arange(int(letters.sum())) + np.repeat(w.first[pair_word] - (np.cumsum(letters) - letters), letters)
-    gram_key = np.unique(np.repeat(pair_doc, letters) * np.int64(GRAM_BUCKETS) + w.gram[flat])
+    flat = np.arange(int(letters.sum()), dtype=np.int32) + np.repeat((w.first[pair_word] - (np.cumsum(letters) - letters)).astype(np.int32), letters)
+    gram_key = np.unique(np.repeat(pair_doc.astype(np.int32), letters) * np.int64(GRAM_BUCKETS) + w.gram[flat])
     word_key = np.unique(pair_doc * np.int64(WORD_BUCKETS) + w.bucket[pair_word])
     counts = [[np.bincount(k[toxic[k // m] == c] % m, minlength=m).astype(np.float32) for c in (1, 0)] for k, m in ((word_key, WORD_BUCKETS), (gram_key, GRAM_BUCKETS))]
     model = ToxicityModel(log_odds(*counts[0], docs), log_odds(*counts[1], docs), Network(seed))
@@ -284,7 +285,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
         return log_odds(counts[kind][0][bucket] - own, counts[kind][1][bucket] - (1 - own), docs)
 
     pair_stat = without(0, w.bucket[pair_word], pair_doc)
-    gram_stat = without(1, w.gram[flat], np.repeat(pair_doc, letters))
+    gram_stat = without(1, w.gram[flat], np.repeat(pair_doc.astype(np.int32), letters))
     begin = np.cumsum(letters) - letters
     stats = np.stack([pair_stat, (pair_stat > 1).astype(np.float32), np.add.reduceat(gram_stat, begin) / letters, np.maximum.reduceat(gram_stat, begin)], axis=1).astype(np.float32)
     token_pair = np.searchsorted(pairs, w.text * np.int64(n_words) + w.word)
@@ -377,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y") for y in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # at most 2 * sample rows
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = text.where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     if rows["y"].nunique() < 2:
         return None
     return train(rows["text"].tolist(), rows["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
