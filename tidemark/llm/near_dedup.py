@@ -134,7 +134,9 @@ def full_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingle_set(t, shingle).tobytes() for t in pdf["text"]]})
+            texts = pdf["text"].tolist()
+            for own in _chunks(texts):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[own], "s": [shingle_set(t, shingle).tobytes() for t in texts[own]]})
 
     return written(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary"), "sets")
 
