@@ -31,7 +31,7 @@ from tidemark.llm.common import table
 
 #: The pattern of byte-level pre-tokenization.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_FRAGMENT, CACHE_SIZE, NONE = 48, 1 << 19, np.int32(2**31 - 1)
+LONG_FRAGMENT, CACHE_SIZE, CHUNK, NONE = 48, 1 << 19, 1 << 20, np.int32(2**31 - 1)
 
 
 def printable_bytes() -> dict[str, int]:
@@ -249,8 +249,8 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         c = codec(tokenizer)
         digits = c.digits
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                own = pdf.iloc[at : at + 500]
+            piece = (np.cumsum(pdf["text"].map(len)) - 1) // CHUNK
+            for _, own in pdf.groupby(piece, sort=False):
                 ids = c.encode_batch(own["text"].tolist())
                 out = {
                     "doc_id": own["doc_id"],
