@@ -251,8 +251,9 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with the spans of secrets() masked in the text (and its length, where there is such a column, made to fit);
     all other rows and columns as they are."""
-    found = secrets(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
-    rows = docs.join(found.hint("shuffle_hash"), row_key(id_col, text_col) == F.col("__key"), "left")
+    found = secrets(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
+    same = (row_key(id_col, text_col) == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    rows = docs.join(found.hint("shuffle_hash"), same, "left")
     hit = F.col("__spans").isNotNull()
     rows = rows.withColumn(text_col, F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
     if length_col in docs.columns:

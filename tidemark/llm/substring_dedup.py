@@ -102,7 +102,8 @@ def repeated_in_shard(texts: list[bytes], weights: np.ndarray, window: int) -> l
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and (with keep_text) kept_text."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("k", F.xxhash64("doc_id", "text"))
+    # a row's name: rows of the same id and text share it, and are treated alike
+    texts = texts.withColumns({"k": F.xxhash64("doc_id", "text"), "d": F.coalesce("doc_id", F.lit(0))})
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -122,10 +123,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 hs = own["hs"].tolist()
                 wanted = tag(np.concatenate([np.asarray(h, dtype=np.int64) for h in hs]), np.repeat(np.arange(len(hs)), [len(h) for h in hs]))
                 pick = np.flatnonzero(np.isin(tag(found.h, found.doc), wanted))
-                yield pd.DataFrame({"k": own["k"].to_numpy()[found.doc[pick]], "start": found.first[pick].astype(np.int32), "h": found.h[pick], "seg": [found.text(i) for i in pick.tolist()]})
+                yield pd.DataFrame({"k": own["k"].to_numpy()[found.doc[pick]], "d": own["d"].to_numpy()[found.doc[pick]], "start": found.first[pick].astype(np.int32), "h": found.h[pick], "seg": [found.text(i) for i in pick.tolist()]})
 
-    found = texts.select("k", "text").join(of_doc.hint("shuffle_hash"), "k").mapInPandas(cut, "k long, start int, h long, seg binary")
-    keyed = found.select("k", "start", "h", "seg", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg").alias("s2"))
+    found = texts.select("k", "d", "text").join(of_doc.hint("shuffle_hash"), "k").mapInPandas(cut, "k long, d long, start int, h long, seg binary")
+    keyed = found.select("k", "d", "start", "h", "seg", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg").alias("s2"))
     keyed = written(keyed, "segments")
     distinct = written(keyed.groupBy("h", "seg").agg(F.count("*").alias("weight"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "distinct")
     hot = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h")
@@ -159,8 +160,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     # a window's hit is one of the segments that it was split from
     of_windows = split.select("s1", "s2", "at", "w1", "w2").join(hits.select(F.col("s1").alias("w1"), F.col("s2").alias("w2")), ["w1", "w2"], "left_semi")
     of_windows = of_windows.select("s1", "s2", F.explode("at").alias("a")).withColumn("b", F.col("a") + window)
-    spans = keyed.select("k", "start", "s1", "s2").join(hits.unionByName(of_windows), ["s1", "s2"])
-    spans = spans.groupBy("k").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    spans = keyed.select("k", "d", "start", "s1", "s2").join(hits.unionByName(of_windows), ["s1", "s2"])
+    spans = spans.groupBy("k", "d").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,7 +181,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield got if keep_text else got.drop(columns="kept_text")
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return texts.join(spans.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "spans").mapInPandas(rest, schema)
+    return texts.join(spans.hint("shuffle_hash"), ["k", "d"], "left").select("doc_id", "text", "spans").mapInPandas(rest, schema)
 
 
 def op4_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
