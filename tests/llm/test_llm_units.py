@@ -144,3 +144,32 @@ def test_odd_sketches_never_exceed_the_difference(values, gone):
     sketch = near_dedup.odd_sketches([a, b]).view(np.uint64)
     bits = int(np.bitwise_count(sketch[0] ^ sketch[1]).sum())
     assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_against_a_plain_one(lengths):
+    from tidemark.llm import packing
+
+    lengths, capacities = sorted(lengths, reverse=True), (16, 32, 64)
+    bins, which, offset = [], [], []
+    for i, x in enumerate(lengths):
+        fits = [(cap - used, b) for b, (cap, used) in enumerate(bins) if cap - used >= x]
+        if fits:
+            _, b = min(fits)
+        else:  # the size that costs least per token, filled greedily with what is still to come
+            prices = []
+            for cap in capacities:
+                if cap >= x:
+                    room, filled = cap - x, x
+                    for y in lengths[i + 1 :]:
+                        if y <= room:
+                            room, filled = room - y, filled + y
+                    prices.append(((cap + packing.BIN_COST) / filled, cap))
+            b = len(bins)
+            bins.append([min(prices)[1], 0])
+        which.append(b)
+        offset.append(bins[b][1])
+        bins[b][1] += x
+    want = (which, offset, [min(c for c in capacities if c >= used) for _, used in bins])
+    assert packing.best_fit(lengths, capacities) == want
