@@ -41,6 +41,13 @@ def test_scan_reads_few_columns(spark, sf_dir):
     assert "value:double" not in plan.split("ReadSchema")[1]
 
 
+@pytest.mark.parametrize("name", ["range_scan_exact", "range_downsampled", "instant_value"])
+def test_ranges_reach_the_scan(spark, sf_dir, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThanOrEqual(ts," in plan
+
+
 def test_epoch_seconds_ignore_the_session_zone(spark, sf_dir):
     here = adapters.events(spark, sf_dir).agg({"ts": "min"}).head()[0]
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import labels_from_json, labels_key
 from tidemark.operators.aggregate import aggregate, downsample
 from tidemark.operators.chunks import with_chunk, zone_map
-from tidemark.operators.instant import instant
+from tidemark.operators.instant import LOOKBACK, instant
 from tidemark.operators.rate import rate
 from tidemark.operators.select import range_scan, sample_counts, select_series, series, series_count
 from tidemark.schema import SERIES
@@ -48,11 +48,13 @@ def _daily(agg: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def range_scan_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_scan(adapters.events(spark, sf_dir), "click", {"user_id": "8"}, START, START + 20 * DAY).select("name", "labels_key", "ts", "value", "seq")
+    start, end = START, START + 20 * DAY
+    return range_scan(adapters.events(spark, sf_dir, start, end), "click", {"user_id": "8"}, start, end).select("name", "labels_key", "ts", "value", "seq")
 
 
 def range_downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = range_scan(adapters.events(spark, sf_dir), "view", {"user_id": "7"}, START + 3600.5, START + 25 * DAY)
+    start, end = START + 3600.5, START + 25 * DAY
+    found = range_scan(adapters.events(spark, sf_dir, start, end), "view", {"user_id": "7"}, start, end)
     return _rounded(downsample(found, 6 * 3600.0, "mean"))
 
 
@@ -85,7 +87,8 @@ def rate_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instant_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instant(adapters.events(spark, sf_dir), START + 10 * DAY)
+    at = START + 10 * DAY
+    return instant(adapters.events(spark, sf_dir, at - LOOKBACK, at), at)
 
 
 def select_glob_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
