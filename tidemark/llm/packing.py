@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, table
 
-CAPACITIES, BIN_COST, SHARD_PIECES = (512, 1024, 2048, 4096), 16, 20_000
+CAPACITIES, BIN_COST, SHARD_PIECES, MOST_TASKS = (512, 1024, 2048, 4096), 16, 20_000, 10_000
 
 
 def cheapest(length: int, rest: np.ndarray, counts: np.ndarray, capacities: tuple[int, ...]) -> int:
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, n_tokens, capacities: tuple[int, ...] = CAPACITIES, id
     pieces = sized.select("doc_id", "n", F.explode(cut).alias("piece")).select(
         "doc_id", "piece", F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("long").alias("n_tokens")
     )
-    shards = max(1, -(-docs.count() // shard_pieces))
+    shards = int(max(1, -(-docs.count() // shard_pieces)))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +106,8 @@ def pack(docs: DataFrame, n_tokens, capacities: tuple[int, ...] = CAPACITIES, id
         return pdf[["doc_id", "piece", "n_tokens", "bin_id", "capacity", "position"]]
 
     schema = "doc_id long, piece long, n_tokens long, bin_id long, capacity long, position long"
-    return pieces.groupBy("shard").applyInPandas(run, schema)
+    # few bytes, but much work: a task per shard, which Spark would otherwise join into a few
+    return pieces.repartition(min(shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(run, schema)
 
 
 def word_count(text_col: str = "text"):
