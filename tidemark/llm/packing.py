@@ -37,7 +37,7 @@ def cheapest(length: int, rest: np.ndarray, counts: np.ndarray, capacities: tupl
     for cap in (c for c in capacities if c >= length):
         room, filled, taken = cap - length, length, {}
         while room > 0:
-            i = int(np.searchsorted(rest, room, side="right")) - 1
+            i = int(np.searchsorted(rest, min(room, length), side="right")) - 1  # none longer is still to come
             while i >= 0 and counts[i] - taken.get(i, 0) <= 0:
                 i -= 1
             if i < 0:
