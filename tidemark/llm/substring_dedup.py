@@ -162,17 +162,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     of_windows = of_windows.select("s1", "s2", F.explode("at").alias("a")).withColumn("b", F.col("a") + window)
     spans = keyed.select("k", "d", "start", "s1", "s2").join(hits.unionByName(of_windows), ["s1", "s2"])
     spans = spans.groupBy("k", "d").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    spans = spans.select("k", "d", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, own in zip(pdf["text"], pdf["spans"], strict=True):
+            for text, a, b in zip(pdf["text"], pdf["a"], pdf["b"], strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 n = len(words)
-                if own is not None and len(own):
+                if a is not None:
                     gone = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(gone, [s["a"] for s in own], 1)
-                    np.add.at(gone, [s["b"] for s in own], -1)
+                    np.add.at(gone, a, 1)
+                    np.add.at(gone, b, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(gone)[:-1] == 0)]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
@@ -181,7 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield got if keep_text else got.drop(columns="kept_text")
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return texts.join(spans.hint("shuffle_hash"), ["k", "d"], "left").select("doc_id", "text", "spans").mapInPandas(rest, schema)
+    return texts.join(spans.hint("shuffle_hash"), ["k", "d"], "left").select("doc_id", "text", "a", "b").mapInPandas(rest, schema)
 
 
 def op4_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
