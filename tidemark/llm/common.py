@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The separators of words: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,6 +20,7 @@ _LOCAL: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) a local one."""
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
@@ -47,7 +49,15 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the bytes of an Arrow batch to BATCH_BYTES: texts can be long, and a worker holds a batch several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(BATCH_BYTES + 1)).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

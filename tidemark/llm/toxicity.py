@@ -34,7 +34,7 @@ from tidemark.llm.quality import held_out
 
 WINDOW, STRIDE, HIDDEN, VECTOR, THRESHOLD = 32, 16, 8, 4, 0.5
 SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 1000, 1 << 17, 1 << 16, 1 << 12, 4.0, 3.0
-LONGEST, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 20_000, 3, 5, 128, 0.01, 1e-4, 3e-2, 2 << 20, 1 << 20
+LONGEST, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 20_000, 3, 5, 128, 0.01, 1e-4, 3e-2, 1 << 20, 1 << 20
 INPUT = 4 + 2 * VECTOR
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -292,15 +292,21 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
     first, owner = windows_of(w.text, len(texts))
     count = np.bincount(w.text, minlength=len(texts))
 
-    def batch(own: np.ndarray, tiled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """tiled: where over 0, the window repeats so many of its words, from the most suspect on."""
+    def batch(own: np.ndarray, tiled: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Inputs, mask and words of windows, and of their distinct words: which each word is, their 4-grams, how many.
+        tiled: where over 0, the window repeats so many of its words, from the most suspect on."""
         step = np.arange(WINDOW)[:, None]
         step = np.where(tiled > 0, np.minimum(suspect[own] + step % np.maximum(tiled, 1), np.minimum(count[owner[own]], WINDOW) - 1), step)
         place = np.minimum(first[own][None, :] + step, len(w.word) - 1)
         mask = (np.arange(WINDOW)[:, None] < np.minimum(count[owner[own]], WINDOW)[None, :]).astype(np.float32)
         word, p = w.word[place], model.network.p
-        x = np.concatenate([stats[token_pair[place]], p["word"][w.vector[word]], w.mean(p["gram"][w.gram_vector])[word]], axis=2)
-        return x.astype(np.float32), mask, word
+        used, back = np.unique(word, return_inverse=True)
+        n = w.length[used]
+        begin = np.cumsum(n) - n
+        grams = w.gram_vector[np.arange(int(n.sum())) + np.repeat(w.first[used] - begin, n)]
+        per_word = np.add.reduceat(p["gram"][grams], begin) / n[:, None]
+        x = np.concatenate([stats[token_pair[place]], p["word"][w.vector[word]], per_word[back.reshape(word.shape)]], axis=2)
+        return x.astype(np.float32), mask, word, back.ravel(), grams, n
 
     def logits() -> np.ndarray:
         p = model.network.p
@@ -335,17 +341,14 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
         for _ in range(EPOCHS):
             for own in np.array_split(rng.permutation(len(chosen)), -(-len(chosen) // BATCH)):
-                x, mask, word = batch(chosen[own], tiled[own])
+                x, mask, word, back, grams, n = batch(chosen[own], tiled[own])
                 g, d_x, _ = model.network.gradients(x, mask, y[own], weight[own])
                 d_word = d_x * mask[:, :, None]
                 g["word"], g["gram"] = np.zeros_like(model.network.p["word"]), np.zeros_like(model.network.p["gram"])
                 np.add.at(g["word"], w.vector[word].ravel(), d_word[:, :, 4 : 4 + VECTOR].reshape(-1, VECTOR))
-                used, back = np.unique(word, return_inverse=True)
-                per_word = np.zeros((len(used), VECTOR), dtype=np.float32)
-                np.add.at(per_word, back.ravel(), d_word[:, :, 4 + VECTOR :].reshape(-1, VECTOR))
-                n = w.length[used]
-                at = np.arange(int(n.sum())) + np.repeat(w.first[used] - (np.cumsum(n) - n), n)
-                np.add.at(g["gram"], w.gram_vector[at], np.repeat(per_word / n[:, None], n, axis=0))
+                per_word = np.zeros((len(n), VECTOR), dtype=np.float32)
+                np.add.at(per_word, back, d_word[:, :, 4 + VECTOR :].reshape(-1, VECTOR))
+                np.add.at(g["gram"], grams, np.repeat(per_word / n[:, None], n, axis=0))
                 steps += 1
                 for k, v in model.network.p.items():  # Adam
                     d = g[k] + (VECTOR_DECAY if k in ("word", "gram") else DECAY) * v
