@@ -19,7 +19,7 @@ def documents(spark, sf_dir):
     return {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
 
 
-@pytest.mark.parametrize("name", ["op6_odd_sketch_dedup", "op7_exact_dedup", "op9_topk_search"])
+@pytest.mark.parametrize("name", ["op4_fm_substring_dedup", "op5_warc_archive", "op6_odd_sketch_dedup", "op7_exact_dedup", "op9_topk_search"])
 def test_query_matches_sql(spark, sf_dir, oracle, rows_of, name):
     assert rows_of(queries.QUERIES[name](spark, sf_dir)) == oracle(queries.ORACLES[name])
 

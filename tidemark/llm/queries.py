@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op4_fm_substring_dedup": substring_dedup.ORACLE,
+    "op5_warc_archive": warc_archive.ORACLE,
     "op6_odd_sketch_dedup": near_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_topk_search": topk_search.ORACLE,

@@ -190,19 +190,18 @@ def op4_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH w AS (
+WITH d AS (
   SELECT doc_id, row_number() OVER () AS k, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
-), p AS (
-  SELECT k, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)
-), r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS c FROM p) WHERE c > 1
-), g AS (SELECT k, list(i) AS at FROM r GROUP BY k
-), f AS (
-  SELECT doc_id, w, CASE WHEN at IS NULL THEN w ELSE list_filter(w, lambda x, j: c[j] = 0) END AS kept
-  FROM (
-    SELECT doc_id, w.k, w, at,
-           list_transform(range(1, len(w) + 1), lambda j: CASE WHEN at IS NULL THEN 0 ELSE len(list_filter(at, lambda i: i <= j AND j < i + 35)) END) AS c
-    FROM w LEFT JOIN g ON w.k = g.k
-  )
+), t AS (
+  SELECT k, j, w[j] AS word, CASE WHEN j + 34 <= len(w) THEN sha256(array_to_string(w[j:j + 34], ' ')) END AS h
+  FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS j FROM d)
+), r AS (
+  SELECT k, j, word, CASE WHEN h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS again FROM t
+), c AS (
+  SELECT k, j, word, max(again) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r
+), a AS (
+  SELECT k, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY k
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM f
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (k)
 """
