@@ -1,0 +1,45 @@
+"""Secrets in long runs, in op3 and in the pipeline's stage."""
+
+import base64
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import secrets
+
+PROSE = "the thing was in the other place and nothing more than that could be said of it "
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def scanned(spark, tmp_path, tokens):
+    """Each token amid prose: the random spans that op3 finds, relative to the token, and the pipeline's masked text."""
+    rows = [(i, PROSE * 2 + t + " " + PROSE, "en", "s", 0) for i, t in enumerate(tokens)] + [(i, PROSE * 4, "en", "s", 0) for i in range(1000, 1040)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = len(PROSE) * 2
+    found = {r["doc_id"]: [tuple(s.split(":")) for s in r["spans"].split(",") if s] for r in secrets.op3_secret_scan(spark, str(tmp_path)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).collect()}
+    assert not any(found[i] for i in range(1000, 1040))
+    return [[(int(a) - at, int(b) - at) for k, a, b in found[i] if k == "random"] for i in range(len(tokens))], [masked[i] for i in range(len(tokens))]
+
+
+@pytest.mark.parametrize("signs", ["+/", "-_", ""])
+def test_long_random_runs_are_found_and_masked(spark, tmp_path, signs):
+    rng = np.random.default_rng(8)
+    tokens = ["".join(rng.choice(list(secrets.ENCODINGS["base62"] + signs), n)) for n in (520, 1600, 4000, 12000) for _ in range(4)]
+    found, masked = scanned(spark, tmp_path, tokens)
+    for token, spans, text in zip(tokens, found, masked, strict=True):
+        assert spans == [(0, len(token))]
+        assert text == PROSE * 2 + "[SECRET] " + PROSE
+
+
+def test_random_parts_of_a_long_run_are_found(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    secret = base64.b64encode(rng.bytes(3000)).decode()
+    words = "the-thing-was-in-the-other-place-" * 60
+    found, masked = scanned(spark, tmp_path, [words + secret + "-" + words, words])
+    ((start, end),) = found[0]
+    assert abs(start - len(words)) < secrets.STEP and abs(end - len(words) - len(secret)) < secrets.STEP
+    assert secret[secrets.STEP : -secrets.STEP] not in masked[0] and words[: -secrets.STEP] in masked[0]
+    assert found[1] == [] and masked[1] == PROSE * 2 + words + " " + PROSE

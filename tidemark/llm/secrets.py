@@ -4,9 +4,9 @@ Base spans (whole matches, leftmost and non-overlapping per kind): assign, an as
 of 12 characters or more; access, AKIA and capitals or digits, 18 characters or more; hex, 16 lower-case hexadecimal
 digits or more. Base spans always stay.
 
-Method spans (kind random): every maximal run of MIN_RUN to MAX_RUN characters of [A-Za-z0-9+/_-] that touches no base
-span is a candidate. Its encoding is inferred (decimal, hex, base32, base36, base64), and three tests follow over the
-encoding's alphabet:
+Method spans (kind random): every maximal run of at least MIN_RUN characters of [A-Za-z0-9+/_-] that touches no base
+span is a candidate. Its encoding is inferred (decimal, hex, base32, base36, base62, base64 with either pair of signs), and
+three tests follow over the encoding's alphabet:
   * chi-squared uniformity of the symbols: small where symbols are spread as by chance;
   * runs: the number of changes of character class, which prose words all but lack;
   * serial correlation of neighbouring symbol values, near none by chance.
@@ -17,6 +17,10 @@ candidates have more power, so the false-discovery control is weighted: within a
 mean length (averaging 1 over all candidates) scale the Benjamini-Hochberg thresholds. The threshold comes from counts of
 p-values on a fixed grid, one aggregation over all candidates, so no list of them is ever gathered.
 
+A run of over LONG characters may be random in parts only (a header before a key). Where it isn't random-like as a whole,
+its pieces of PIECE characters, STEP apart, are tested instead, and what is accepted is merged. Its p-values are multiplied
+by the number of its tests, its least one counts in the false-discovery control, and its weight is that of LONG characters at most.
+
 Defined cases: a null text counts as empty, without spans; repeated rows are scanned alike; ids may be null; extra columns
 are ignored; an empty table gives an empty result. Positions are in code points, ends exclusive.
 """
@@ -38,8 +42,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_MIN, ACCESS_MIN, ASSIGN_MIN = 16, 18, 12
 KINDS = ["assign", "access", "hex", "random"]
-MIN_RUN, MAX_RUN, REJECT, FDR, GRID = 20, 512, 1e-3, 0.01, 4000
-ENCODINGS = {"decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+MIN_RUN, LONG, PIECE, STEP, REJECT, FDR, GRID = 20, 512, 256, 64, 1e-3, 0.01, 4000
+ENCODINGS = {"decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+#: The value of each character in each encoding; - and _ stand for + and /.
+_VALUE = {name: np.array([max(alphabet.find(chr(c)), 0) for c in range(128)]) for name, alphabet in ENCODINGS.items()}
+_VALUE["base64"][[45, 95]] = 62, 63
 _HEX = np.zeros(128, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
 _RUN = np.zeros(128, dtype=bool)
@@ -90,10 +97,11 @@ def statistics(token: str) -> tuple[str, float, int, float]:
     """The encoding, chi-squared statistic, number of class changes and serial correlation of a token."""
     name = encoding_of(token)
     alphabet = ENCODINGS[name][:64]
-    value = np.array([ENCODINGS[name].index(c) & 63 for c in token])
+    data = np.frombuffer(token.encode(), dtype=np.uint8)
+    value = _VALUE[name][data]
     n, k = len(token), len(alphabet)
     chi = float(((np.bincount(value, minlength=k) - n / k) ** 2).sum() * k / n)
-    kinds = _KIND[np.frombuffer(token.encode(), dtype=np.uint8)]
+    kinds = _KIND[data]
     centred = value - value.mean()
     spread = float((centred**2).sum())
     serial = float((centred[1:] * centred[:-1]).sum() / spread) if spread else 1.0
@@ -112,6 +120,18 @@ def random_like(name: str, n: int, chi: float, changes: int, serial: float) -> b
     return normal_tail(z_chi) >= REJECT and 2 * normal_tail(abs(z_runs)) >= REJECT and 2 * normal_tail(abs(z_serial)) >= REJECT
 
 
+def candidates(text: str, start: int, end: int) -> list[tuple]:
+    """(start, end, tests) and statistics of a run, or of the random-like pieces of a long one that isn't as a whole."""
+    whole = statistics(text[start:end])
+    if end - start <= LONG:
+        return [(start, end, 1, *whole)]
+    at = [*range(start, end - PIECE, STEP), end - PIECE]
+    if random_like(whole[0], end - start, *whole[1:]):
+        return [(start, end, len(at) + 1, *whole)]
+    pieces = [(s, s + PIECE, len(at) + 1, *statistics(text[s : s + PIECE])) for s in at]
+    return [x for x in pieces if random_like(x[3], PIECE, *x[4:])] or [(start, end, len(at) + 1, *whole)]
+
+
 def prose_p(name: str, n: int, chi: float, changes: int, serial: float, letters: np.ndarray, change_rate: float) -> float:
     """The p-value under prose: symbols as in the corpus (letters: share of each byte), classes changing at change_rate."""
     alphabet = ENCODINGS[name][:64]
@@ -126,6 +146,10 @@ def prose_p(name: str, n: int, chi: float, changes: int, serial: float, letters:
     return normal_tail((2 * z_chi + 2 * z_runs + 0.25 * z_serial) / math.sqrt(4 + 4 + 0.0625))
 
 
+def weighted_length(run: Column) -> Column:
+    return F.least(run["end"] - run["start"], F.lit(LONG))
+
+
 def length_class(n: Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
@@ -139,7 +163,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row per row of docs: doc_id, base (base spans), runs (candidates with their statistics), letters and changes
     (counts for the corpus)."""
     schema = """doc_id long, key long, base array<struct<start:int,end:int,kind:string>>,
-        runs array<struct<start:int,end:int,encoding:string,chi:double,changes:int,serial:double>>, letters array<long>, changes long"""
+        runs array<struct<run:int,start:int,end:int,tests:int,encoding:string,chi:double,changes:int,serial:double>>, letters array<long>, changes long"""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,10 +176,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 changes += int(((kinds[1:] != kinds[:-1]) & (kinds[1:] < 3) & (kinds[:-1] < 3)).sum())
                 more = []
                 for s, e in runs(_RUN[points], MIN_RUN):
-                    if e - s <= MAX_RUN and not any(a < e and s < b for a, b, _ in own):
-                        more.append((s, e, *statistics(text[s:e])))
+                    if not any(a < e and s < b for a, b, _ in own):
+                        more += [(s, *x) for x in candidates(text, s, e)]
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(own, key=lambda x: (x[0], KINDS.index(x[2])))])
-                found.append([dict(zip(("start", "end", "encoding", "chi", "changes", "serial"), x, strict=True)) for x in more])
+                found.append([dict(zip(("run", "start", "end", "tests", "encoding", "chi", "changes", "serial"), x, strict=True)) for x in more])
             n = len(pdf)
             # the batch's counts stand in its first row
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "base": base, "runs": found, "letters": [letters.tolist()] * min(n, 1) + [[]] * (n - 1), "changes": [changes] * min(n, 1) + [0] * (n - 1)})
@@ -165,29 +189,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def p_values(scanned: DataFrame) -> DataFrame:
-    """scanned with p in each of its runs: the p-value under prose, 1 where the run isn't random-like."""
+    """scanned with p for each of its candidates: the p-value under prose times the tests of its run, 1 where it isn't
+    random-like; and lead: the run's least p at its first candidate, null at the others."""
     letters = np.zeros(128)
     for r in scanned.select(F.posexplode("letters")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # 128 rows
         letters[r["pos"]] = r["n"]
     solid = letters[_KIND < 3].sum()
     change_rate = float((scanned.agg(F.sum("changes")).head()[0] or 0) / max(1.0, solid))
 
-    @F.pandas_udf("array<double>")
-    def p(found: pd.Series) -> pd.Series:
+    @F.pandas_udf("p array<double>, lead array<double>")
+    def p(found: pd.Series) -> pd.DataFrame:
         def one(x: dict) -> float:
             n, args = x["end"] - x["start"], (x["chi"], x["changes"], x["serial"])
-            return prose_p(x["encoding"], n, *args, letters, change_rate) if random_like(x["encoding"], n, *args) else 1.0
+            return min(1.0, x["tests"] * prose_p(x["encoding"], n, *args, letters, change_rate)) if random_like(x["encoding"], n, *args) else 1.0
+
+        def leads(xs: list[dict], ps: list[float]) -> list[float | None]:
+            least: dict[int, float] = {}
+            for x, q in zip(xs, ps, strict=True):
+                least[x["run"]] = min(q, least.get(x["run"], 1.0))
+            return [least.pop(x["run"], None) for x in xs]
 
-        return found.map(lambda xs: [one(x) for x in xs])
+        ps = [[one(x) for x in xs] for xs in found]
+        return pd.DataFrame({"p": ps, "lead": [leads(xs, q) for xs, q in zip(found, ps, strict=True)]})
 
-    some = scanned.where(F.size("runs") > 0).select("doc_id", "key", "base", "runs", p("runs").alias("p"))
-    none = scanned.where(F.size("runs") == 0).select("doc_id", "key", "base", "runs", F.array().cast("array<double>").alias("p"))
+    some = scanned.where(F.size("runs") > 0).select("doc_id", "key", "base", "runs", p("runs").alias("s")).select("doc_id", "key", "base", "runs", "s.p", "s.lead")
+    empty = F.array().cast("array<double>")
+    none = scanned.where(F.size("runs") == 0).select("doc_id", "key", "base", "runs", empty.alias("p"), empty.alias("lead"))
     return some.unionByName(none)
 
 
 def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
     """For each length class the largest p-value that the weighted Benjamini-Hochberg procedure accepts."""
-    pairs = scored.select(F.explode(F.arrays_zip("runs", "p")).alias("x")).select((F.col("x.runs.end") - F.col("x.runs.start")).alias("n"), F.col("x.p").alias("p"))
+    pairs = scored.select(F.explode(F.arrays_zip("runs", "lead")).alias("x")).where(F.col("x.lead").isNotNull()).select(weighted_length(F.col("x.runs")).alias("n"), F.col("x.lead").alias("p"))
     cell = F.least(F.lit(GRID), F.floor(F.lit(-100.0) * F.log10(F.greatest(F.col("p"), F.lit(1e-40))))).cast("int")
     counts = pairs.groupBy(length_class(F.col("n")).alias("c"), cell.alias("cell")).agg(F.count("*").alias("m"), F.sum("n").alias("n")).collect()  # at most classes x GRID rows
     total, length = sum(r["m"] for r in counts), sum(r["n"] for r in counts)
@@ -211,12 +244,16 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr
     scored = written(p_values(scanned), "p")
     dropped(scanned)
     limit = thresholds(scored, fdr)
-    accepted = F.filter(F.arrays_zip("runs", "p"), lambda x: x["p"] <= _limit(x["runs"]["end"] - x["runs"]["start"], limit))
-    more = F.transform(accepted, lambda x: F.struct(x["runs"]["start"].alias("start"), x["runs"]["end"].alias("end"), F.lit("random").alias("kind")))
+    passed = F.filter(F.arrays_zip("runs", "p"), lambda x: x["p"] <= _limit(weighted_length(x["runs"]), limit))
+    accepted = scored.select("doc_id", "key", "base", F.transform(passed, lambda x: x["runs"]).alias("runs"))
+    # candidates of different runs never touch; overlapping pieces of one run are merged
+    first = F.filter("runs", lambda x, i: F.coalesce(F.get("runs", i - 1)["end"] < x["start"], F.lit(True)))
+    last = F.filter("runs", lambda x, i: F.coalesce(F.get("runs", i + 1)["start"] > x["end"], F.lit(True)))
+    more = F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"), F.lit("random").alias("kind")))
     rank = {k: i for i, k in enumerate(KINDS)}
     keyed = F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), _rank(s["kind"], rank).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return scored.select("doc_id", "key", ordered.alias("spans"))
+    return accepted.select("doc_id", "key", ordered.alias("spans"))
 
 
 def _limit(n: Column, limit: dict[int, float]) -> Column:
