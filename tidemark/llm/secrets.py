@@ -4,8 +4,8 @@ Base spans (whole matches, leftmost and non-overlapping per kind): assign, an as
 of 12 characters or more; access, AKIA and capitals or digits, 18 characters or more; hex, 16 lower-case hexadecimal
 digits or more. Base spans always stay.
 
-Method spans (kind random): every maximal run of at least MIN_RUN characters of [A-Za-z0-9+/_-] that touches no base
-span is a candidate. Its encoding is inferred (decimal, hex, base32, base36, base62, base64 with either pair of signs), and
+Method spans (kind random): every maximal run of at least MIN_RUN characters of [A-Za-z0-9+/_-] outside the base
+spans is a candidate; what a base span leaves of a longer run on either side is one of its own. Its encoding is inferred (decimal, hex, base32, base36, base62, base64 with either pair of signs), and
 three tests follow over the encoding's alphabet:
   * chi-squared uniformity of the symbols: small where symbols are spread as by chance;
   * runs: the number of changes of character class, which prose words all but lack;
@@ -175,9 +175,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 kinds = _KIND[points]
                 changes += int(((kinds[1:] != kinds[:-1]) & (kinds[1:] < 3) & (kinds[:-1] < 3)).sum())
                 more = []
-                for s, e in runs(_RUN[points], MIN_RUN):
-                    if not any(a < e and s < b for a, b, _ in own):
-                        more += [(s, *x) for x in candidates(text, s, e)]
+                member = _RUN[points]
+                for s, e, _ in own:
+                    member[s:e] = False
+                for s, e in runs(member, MIN_RUN):
+                    more += [(s, *x) for x in candidates(text, s, e)]
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(own, key=lambda x: (x[0], KINDS.index(x[2])))])
                 found.append([dict(zip(("run", "start", "end", "tests", "encoding", "chi", "changes", "serial"), x, strict=True)) for x in more])
             n = len(pdf)
