@@ -6,8 +6,9 @@ for its character 4-grams: mean, largest, and the mean of their learned vectors)
 window of WINDOW words in both directions; attention pools their states into one logit. Every document is covered by
 windows overlapping by half, all of which are scored; the highest counts, calibrated on the training documents.
 
-Training takes at most SAMPLE labelled rows of each class outside the held-out fold (those of the least hash of the id;
-texts of over LONGEST characters are left out).
+Training takes at most SAMPLE labelled rows of each class outside the held-out fold (those of the least hash of the id
+among the rows whose text has a word). Of a text of over LONGEST characters it takes EACH windows with the words that most
+tell the sample's classes apart and EACH of the least hash of their words, chosen inside tasks over the whole text.
 Labels belong to documents, so windows are chosen in rounds: of a toxic document those that score highest, of a clean one
 the highest, a random one, and one whose most suspect words are repeated all through it. A training document's own counts are taken out of the frequencies it sees.
 
@@ -15,7 +16,8 @@ The input rows of a network are computed once per distinct word of a batch, so a
 
 Defined cases: null and empty texts, and texts without words, score as a text with no toxic word at all: the calibrated
 score of an empty window; repeated rows are scored alike; a null id is never held out; labels that are null, or disagree,
-are not learned from; with labels of one class only, every score is 0. Extra columns are ignored; an empty table gives an
+are not learned from; with labelled documents of one class only, every score is 0; where both have some, but one has no
+text with words, fit() raises ValueError. Extra columns are ignored; an empty table gives an
 empty result. A text beyond PIECE characters is scored in overlapping pieces; its score is the highest.
 """
 
@@ -29,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TO_LOWER, mix64, table, word_hashes
+from tidemark.llm.common import TO_LOWER, dropped, mix64, table, word_hashes, written
 from tidemark.llm.quality import held_out
 
 WINDOW, STRIDE, HIDDEN, VECTOR, THRESHOLD = 32, 16, 8, 4, 0.5
-SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 1000, 1 << 17, 1 << 16, 1 << 12, 4.0, 3.0
-LONGEST, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 20_000, 3, 5, 128, 0.01, 1e-4, 3e-2, 1 << 20, 1 << 20
+SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 2000, 1 << 17, 1 << 16, 1 << 12, 4.0, 3.0
+LONGEST, EACH, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 20_000, 24, 3, 6, 128, 0.01, 1e-4, 3e-2, 1 << 20, 1 << 20
 INPUT = 4 + 2 * VECTOR
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -42,17 +44,20 @@ _IN_WORD[128:] = True
 
 
 class Words:
-    """The words of a batch of texts: text (index of each word's text), word (its index among the distinct words), and of
+    """The words of a batch of texts: text (index of each word's text), start and end (in bytes), word (its index among the distinct words), and of
     each distinct word its bucket and, flat, its 4-grams' buckets (first: where they start)."""
 
     def __init__(self, texts: list[str]):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        data = TO_LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
+        self.data = b" ".join(raw) + b" "
+        data = TO_LOWER[np.frombuffer(self.data, dtype=np.uint8)]
         inside = np.zeros(len(data) + 1, dtype=np.int8)
         inside[1:] = _IN_WORD[data]
         edge = np.diff(inside)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        hashes = word_hashes(data, starts, ends)
+        self.start, self.end = starts, ends
+        # by stretches, as it takes many bytes a character
+        hashes = np.concatenate([word_hashes(data[s[0] : e[-1]], s - s[0], e - s[0]) for s, e in ((starts[i : i + 65536], ends[i : i + 65536]) for i in range(0, len(starts), 65536))] or [np.zeros(0, dtype=np.uint64)])
         distinct, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
         self.text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
         self.bucket = (distinct % np.uint64(WORD_BUCKETS)).astype(np.int64)
@@ -181,6 +186,29 @@ class Network:
         return g, d_x, loss
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A long text in overlapping pieces of PIECE characters."""
+    return (text[i : i + PIECE] for i in range(0, max(1, len(text) - 4096), PIECE - 4096))
+
+
+def excerpt(text: str, toxic: int, counts: np.ndarray, docs: tuple[float, float], each: int = EACH) -> list[str]:
+    """The windows to learn from of a long text. counts: documents of each class (toxic first) by word bucket."""
+    found = []
+    for n, piece in enumerate(pieces(text)):
+        w = Words([piece])
+        if not len(w.word):
+            continue
+        odds = log_odds(counts[0][w.bucket] - toxic, counts[1][w.bucket] - (1 - toxic), docs)[w.word]
+        first = windows_of(w.text, 1)[0]
+        last = np.minimum(first + WINDOW, len(w.word))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(w.bucket[w.word].astype(np.uint64)), dtype=np.uint64)])
+        key, peak = mix64(total[last] - total[first]), np.array([odds[a:b].max() for a, b in zip(first, last, strict=True)])
+        for k in np.union1d(np.lexsort((key, -peak))[:each], np.argsort(key, kind="stable")[:each]):
+            found.append((-float(peak[k]), int(key[k]), n, int(first[k]), w.data[w.start[first[k]] : w.end[last[k] - 1]].decode("utf-8", "surrogatepass")))
+    chosen = set(sorted(found)[:each]) | set(sorted(found, key=lambda x: x[1:])[:each])
+    return [x[4] for x in sorted(chosen, key=lambda x: x[2:4])]
+
+
 class ToxicityModel:
     """The class frequencies of words and 4-grams, the network, and the calibration of a document's highest logit."""
 
@@ -228,8 +256,7 @@ class ToxicityModel:
                 size += len(texts[end])
                 end += 1
             if end == at + 1 and len(texts[at]) > PIECE:
-                text, step = texts[at], PIECE - 4096
-                out[at] = max(float(self.highest([text[i : i + PIECE]])[0]) for i in range(0, len(text) - 4096, step))
+                out[at] = max(float(self.highest([t])[0]) for t in pieces(texts[at]))
             else:
                 out[at:end] = self.highest(texts[at:end])
             at = end
@@ -260,24 +287,42 @@ def one_of_each(texts: list[str], hashes: int = 8, alike: int = 3) -> np.ndarray
     return np.array(taken, dtype=np.int64)
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> ToxicityModel:
-    """Fits all of the model. toxic: 0 or 1 for each text; share: of toxic rows among all labelled rows."""
+def train(texts: list[str] | list[list[str]], toxic: np.ndarray, share: float, seed: int = 7) -> ToxicityModel:
+    """Fits all of the model. texts: each whole, or as a list of its parts, which no window spans; toxic: 0 or 1 for each
+    text; share: of toxic rows among all labelled rows."""
     rng = np.random.default_rng(seed)
-    kept = one_of_each(texts)
+    parts = [[t] if isinstance(t, str) else list(t) for t in texts]
+    kept = one_of_each([" ".join(p) for p in parts])
     toxic = np.asarray(toxic, dtype=np.float32)
     if len(np.unique(toxic[kept])) == 2:
-        texts, toxic = [texts[i] for i in kept], toxic[kept]
-    w = Words(texts)
+        parts, toxic = [parts[i] for i in kept], toxic[kept]
+    whose = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    w = Words([t for p in parts for t in p])
+    first, part = windows_of(w.text, len(whose))
+    count = np.bincount(w.text, minlength=len(whose))[part]
+    owner, w.text = whose[part], whose[w.text]
     docs = (float(toxic.sum()), float((1 - toxic).sum()))
     n_words = len(w.bucket)
     # document frequencies by class; each document then sees them without itself
     pairs = np.unique(w.text * np.int64(n_words) + w.word)
     pair_doc, pair_word = pairs // n_words, pairs % n_words
-    letters = w.length[pair_word]
-    flat = np.arange(int(letters.sum()), dtype=np.int32) + np.repeat((w.first[pair_word] - (np.cumsum(letters) - letters)).astype(np.int32), letters)
-    gram_key = np.unique(np.repeat(pair_doc.astype(np.int32), letters) * np.int64(GRAM_BUCKETS) + w.gram[flat])
+    edges = np.searchsorted(pair_doc, np.arange(0, len(parts) + 64, 64))
+    blocks = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]  # of 64 documents
+
+    def grams(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of pairs a to b: the number of 4-grams, where they start, and, flat, their buckets."""
+        letters = w.length[pair_word[a:b]]
+        begin = np.cumsum(letters) - letters
+        return letters, begin, w.gram[np.arange(int(letters.sum())) + np.repeat(w.first[pair_word[a:b]] - begin, letters)]
+
     word_key = np.unique(pair_doc * np.int64(WORD_BUCKETS) + w.bucket[pair_word])
-    counts = [[np.bincount(k[toxic[k // m] == c] % m, minlength=m).astype(np.float32) for c in (1, 0)] for k, m in ((word_key, WORD_BUCKETS), (gram_key, GRAM_BUCKETS))]
+    counts = [[np.zeros(m, dtype=np.float32) for _ in (1, 0)] for m in (WORD_BUCKETS, GRAM_BUCKETS)]
+    for into, m, keys in [(counts[0], WORD_BUCKETS, word_key)] + [(counts[1], GRAM_BUCKETS, (a, b)) for a, b in blocks]:
+        if isinstance(keys, tuple):
+            letters, _, gram = grams(*keys)
+            keys = np.unique(np.repeat(pair_doc[slice(*keys)], letters) * np.int64(m) + gram)
+        for n, c in zip(into, (1, 0), strict=True):
+            n += np.bincount(keys[toxic[keys // m] == c] % m, minlength=m).astype(np.float32)
     model = ToxicityModel(log_odds(*counts[0], docs), log_odds(*counts[1], docs), Network(seed))
 
     def without(kind: int, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -285,20 +330,21 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
         return log_odds(counts[kind][0][bucket] - own, counts[kind][1][bucket] - (1 - own), docs)
 
     pair_stat = without(0, w.bucket[pair_word], pair_doc)
-    gram_stat = without(1, w.gram[flat], np.repeat(pair_doc.astype(np.int32), letters))
-    begin = np.cumsum(letters) - letters
-    stats = np.stack([pair_stat, (pair_stat > 1).astype(np.float32), np.add.reduceat(gram_stat, begin) / letters, np.maximum.reduceat(gram_stat, begin)], axis=1).astype(np.float32)
+    stats = np.zeros((len(pairs), 4), dtype=np.float32)
+    stats[:, 0], stats[:, 1] = pair_stat, pair_stat > 1
+    for a, b in blocks:
+        letters, begin, gram = grams(a, b)
+        gram_stat = without(1, gram, np.repeat(pair_doc[a:b], letters))
+        stats[a:b, 2], stats[a:b, 3] = np.add.reduceat(gram_stat, begin) / letters, np.maximum.reduceat(gram_stat, begin)
     token_pair = np.searchsorted(pairs, w.text * np.int64(n_words) + w.word)
-    first, owner = windows_of(w.text, len(texts))
-    count = np.bincount(w.text, minlength=len(texts))
 
     def batch(own: np.ndarray, tiled: np.ndarray) -> tuple[np.ndarray, ...]:
         """Inputs, mask and words of windows, and of their distinct words: which each word is, their 4-grams, how many.
         tiled: where over 0, the window repeats so many of its words, from the most suspect on."""
         step = np.arange(WINDOW)[:, None]
-        step = np.where(tiled > 0, np.minimum(suspect[own] + step % np.maximum(tiled, 1), np.minimum(count[owner[own]], WINDOW) - 1), step)
+        step = np.where(tiled > 0, np.minimum(suspect[own] + step % np.maximum(tiled, 1), np.minimum(count[own], WINDOW) - 1), step)
         place = np.minimum(first[own][None, :] + step, len(w.word) - 1)
-        mask = (np.arange(WINDOW)[:, None] < np.minimum(count[owner[own]], WINDOW)[None, :]).astype(np.float32)
+        mask = (np.arange(WINDOW)[:, None] < np.minimum(count[own], WINDOW)[None, :]).astype(np.float32)
         word, p = w.word[place], model.network.p
         used, back = np.unique(word, return_inverse=True)
         n = w.length[used]
@@ -315,7 +361,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
         for at in range(0, len(first), 2048):
             own = np.arange(at, min(at + 2048, len(first)))
             place = np.minimum(first[own][None, :] + np.arange(WINDOW)[:, None], len(w.word) - 1)
-            mask = (np.arange(WINDOW)[:, None] < np.minimum(count[owner[own]], WINDOW)[None, :]).astype(np.float32)
+            mask = (np.arange(WINDOW)[:, None] < np.minimum(count[own], WINDOW)[None, :]).astype(np.float32)
             x = np.concatenate([stats[token_pair[place]], vectors[w.word[place]]], axis=2).astype(np.float32)
             out[at : at + len(own)] = model.network.forward(x, mask)
         return out
@@ -326,9 +372,12 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
         return order[np.arange(len(order)) - np.searchsorted(owner[order], owner[order]) < n]
 
     # before there is a network, a window's score is the highest word statistic in it
-    spread = pair_stat[token_pair[np.minimum(first[:, None] + np.arange(WINDOW), len(w.word) - 1)]]
-    spread[np.arange(WINDOW)[None, :] >= count[owner][:, None]] = -np.inf
-    peak, suspect = spread.max(axis=1), spread.argmax(axis=1)
+    peak, suspect = np.zeros(len(first), dtype=np.float32), np.zeros(len(first), dtype=np.int64)
+    for at in range(0, len(first), 8192):
+        own = slice(at, at + 8192)
+        spread = pair_stat[token_pair[np.minimum(first[own, None] + np.arange(WINDOW), len(w.word) - 1)]]
+        spread[np.arange(WINDOW)[None, :] >= count[own, None]] = -np.inf
+        peak[own], suspect[own] = spread.max(axis=1), spread.argmax(axis=1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.network.p.items()}
     steps = 0
     for _ in range(ROUNDS):
@@ -357,7 +406,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
         peak = logits()
     # a document's probability from its highest logit, with the classes as frequent as among all labelled rows
     some = np.unique(owner)
-    best = np.full(len(texts), -np.inf)
+    best = np.full(len(parts), -np.inf)
     np.maximum.at(best, owner, peak)
     z, y = best[some], toxic[some]
     beta = np.array([1.0, 0.0])
@@ -372,19 +421,52 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> T
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel | None:
-    """Trains on at most sample rows of each class outside the held-out fold; None where a class has no row."""
+    """Trains on at most sample rows of each class outside the held-out fold; None where a class has no document."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
     known = known.agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y2")).where((F.col("y") == F.col("y2")) & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y") for y in (0, 1)]
-    chosen = ids[0].unionByName(ids[1])  # at most 2 * sample rows
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = text.where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    if rows["y"].nunique() < 2:
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"), F.lit(False)).alias("usable"))
+    present = written(known.join(text.groupBy("doc_id").agg(F.max("usable").alias("usable")), "doc_id").select("doc_id", "y", "usable"), "labelled")
+    usable = {r["y"]: r["n"] for r in present.groupBy("y").agg(F.count_if("usable").alias("n")).collect()}
+    if len(usable) < 2:
         return None
-    return train(rows["text"].tolist(), rows["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
+    if not all(usable.values()):
+        raise ValueError(f"documents of both labels, but none with words of label {min(usable, key=usable.get)}")
+    ids = [present.where((F.col("y") == y) & F.col("usable")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y") for y in (0, 1)]
+    chosen = ids[0].unionByName(ids[1])  # at most 2 * sample rows
+    rows = written(text.where("usable").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "sample")
+    got = bounded(rows).toPandas().sort_values("doc_id")
+    dropped(present, rows)
+    return train([list(p) for p in got["parts"]], got["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """doc_id, y and parts: the text whole, or the windows of a long one."""
+    is_long = F.char_length("text") > LONGEST
+    whole = rows.where(~is_long).select("doc_id", "y", F.array("text").alias("parts"))
+    if rows.where(is_long).isEmpty():
+        return whole
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = np.zeros((2, WORD_BUCKETS), dtype=np.int64)
+            for text, y in zip(pdf["text"], pdf["y"], strict=True):
+                n[1 - y][np.unique(np.concatenate([Words([t]).bucket for t in pieces(text)]))] += 1
+            clean, bucket = np.nonzero(n)
+            yield pd.DataFrame({"clean": clean, "bucket": bucket, "n": n[clean, bucket]})
+
+    counts = np.zeros((2, WORD_BUCKETS), dtype=np.float32)
+    sums = rows.mapInPandas(count, "clean long, bucket long, n long").groupBy("clean", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * WORD_BUCKETS rows
+    counts[sums["clean"], sums["bucket"]] = sums["n"]
+    of = {r["y"]: float(r["n"]) for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "parts": [excerpt(t, y, counts, (of[1], of[0])) for t, y in zip(pdf["text"], pdf["y"], strict=True)]})
+
+    return whole.unionByName(rows.where(is_long).mapInPandas(pick, "doc_id long, y int, parts array<string>"))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
