@@ -109,7 +109,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     total = keys.agg(F.sum("n")).head()[0] or 0
     first = first.where(F.col("copies") > 1).drop("copies")  # only they can be revisited
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    out = rows.join(first, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    # ids go to the tasks as strings: pandas makes floats of longs where there are nulls
+    out = rows.join(first, "key", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", refers.cast("string").alias("refers_to"))
     files = max(1, -(-total // FILE_BYTES), 2 * rows.sparkSession.sparkContext.defaultParallelism if total > 8 * FILE_BYTES else 1)
     frames = out.repartition(int(files)).mapInPandas(_frames, "frame binary")
     frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
@@ -158,9 +159,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"a payload differs from its digest: {f}")
                     rows.append((number(f.get("X-Page-ID")), f["WARC-Target-URI"], len(block) if response else int(f["X-Payload-Length"]), digest, f["WARC-Type"], number(f.get("X-Refers-To-Page-ID")), block if response else None))
                     if len(rows) == 1000:
-                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield pd.DataFrame(rows, columns=names, dtype=object).astype({"payload_bytes": "int64", "page_id": "Int64", "refers_to": "Int64"})
                         rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=names, dtype=object).astype({"payload_bytes": "int64", "page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
