@@ -101,3 +101,56 @@ def test_bad_ranges(engine):
 def test_reading_only(spark):
     with pytest.raises(BadRequest):
         MetricEngine(spark).ingest("a", 1)
+
+
+def test_single_points_arrive_one_after_the_other(engine):
+    for v in (0, 1, 2):
+        engine.ingest("cpu", v, {}, 100)
+    assert sorted((r["value"], r["seq"]) for r in engine.range("cpu", 0, 200).collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert engine.range("cpu", 0, 200, step=50, agg="last").head()["value"] == 2
+    assert engine.instant("cpu", {}, 100)["value"] == 0
+
+
+def test_instant_over_a_store(engine):
+    engine.ingest("cpu", 1, {}, 100)
+    engine.ingest_batch([{"name": "cpu", "value": v, "timestamp": 400} for v in (2, 3)])
+    assert [engine.instant("cpu", {}, t)["value"] for t in (399, 400, 700)] == [1, 2, 2]
+    for t in (99, 701):
+        with pytest.raises(NoData):
+            engine.instant("cpu", {}, t)
+
+
+def test_writers_never_share_numbers(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    one, two = SampleStore(spark, path), SampleStore(spark, path)
+    number, first = one._claim(5)  # a writer that is still at work, or has died
+    assert (number, first) == (0, 0)
+    assert two.ingest_batch([{"name": "a", "value": 1, "timestamp": 1}]) == 1
+    assert [r["seq"] for r in one.read().collect()] == [5]
+    assert not one._put("log/1.claim", "0 9\n") and one.next_seq() == 6
+    assert two._claim(1) == (2, 6)
+
+
+def test_readers_see_whole_batches(spark, tmp_path, monkeypatch):
+    store = SampleStore(spark, f"file://{tmp_path}/s")
+    store.ingest("a", 1, {}, 1)
+    monkeypatch.setattr(SampleStore, "_put", lambda self, name, text, put=SampleStore._put: put(self, name, text) if name.endswith("claim") else False)
+    store.ingest("b", 1, {}, 1)
+    assert store.read().count() == 1 and store.series().count() == 1
+
+
+def test_catalogue_reads_no_sample(engine):
+    engine.ingest_batch([{"name": "cpu", "labels": {"h": str(i % 3)}, "timestamp": i, "value": i} for i in range(9)])
+    engine.ingest("cpu", 1, {"h": "0"}, 20)
+    assert all("/series/batch=" in f and "/data/" not in f for f in engine.catalogue.inputFiles())
+    found = {r["labels_key"]: (r["first_seq"], r["samples"], r["min_ts"], r["max_ts"]) for r in engine.catalogue.collect()}
+    assert found['[{"key":"h","value":"0"}]'] == (0, 4, 0, 20) and len(found) == 3
+    plan = engine.select("cpu", {"h": "*"}, 5, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2  # the catalogue, and the samples of the range
+
+
+def test_arrival_numbers_are_checked(engine, spark):
+    for n in (-1, None):
+        df = spark.createDataFrame([("a", None, 1.0, 1.0, n)], "name string, labels map<string,string>, timestamp double, value double, n int")
+        with pytest.raises(BadRequest):
+            engine.ingest_batch(df, arrival="n")

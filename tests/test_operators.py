@@ -166,3 +166,20 @@ def test_empty_input(spark):
     for df in (downsample(none, 10), downsample(none, 10, "last", "arrival"), rate(none), instant(none, 5), series(none), zone_map(none)):
         assert df.count() == 0
     assert series_count(none).head()[0] == 0
+
+
+def test_a_step_too_small_for_the_times_is_an_error(spark):
+    samples = make(spark, "1.7e9:1 1.8e9:2")
+    assert downsample(samples, 1e-9).count() == 2
+    for order in ("time", "arrival"):
+        with pytest.raises(Exception, match="too small"):
+            downsample(samples, 1e-11, "mean", order).collect()
+
+
+def test_several_aggregates_in_one_pass(spark):
+    samples = make(spark, "10:4 11:1 19:7 25:2")
+    found = {r["ts"]: (r["mean"], r["last"], r["count"]) for r in downsample(samples, 10, ["mean", "LAST", "count"]).collect()}
+    assert found == {10: (4, 7, 3), 20: (2, 2, 1)}
+    assert tuple(aggregate(samples, ["min", "max"]).head()) == (1, 7)
+    assert all(math.isnan(x) for x in aggregate(samples.where("false"), ["count", "sum"]).head())
+    assert downsample(samples, 0, ["sum"]).columns == ["name", "labels_key", "ts", "sum"]

@@ -55,3 +55,9 @@ def test_epoch_seconds_ignore_the_session_zone(spark, sf_dir):
         assert adapters.events(spark, sf_dir).agg({"ts": "min"}).head()[0] == here
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("name, scans", [("aggregate_all", 1), ("downsample_mean", 1)])
+def test_one_pass_over_the_table(spark, sf_dir, name, scans):
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == scans

@@ -7,3 +7,7 @@ class BadRequest(ValueError):
 
 class NoData(LookupError):
     """An instant lookup found no sample."""
+
+
+class Conflict(RuntimeError):
+    """Another writer of a store is in the way."""

@@ -24,7 +24,7 @@ class Aggregation(Enum):
         try:
             return name if isinstance(name, cls) else cls(str(name).lower())
         except ValueError:
-            raise BadRequest(f"unknown aggregation {name!r}; valid: {[a.value for a in cls]}") from None
+            raise BadRequest(f"there is no aggregate {name!r}; there are {', '.join(a.value for a in cls)}") from None
 
 
 def check_order(order: str) -> str:
@@ -49,3 +49,10 @@ def aggregate_column(agg: str | Aggregation, order: str = "time") -> Column:
         Aggregation.COUNT: F.count(F.lit(1)).cast("double"),
         Aggregation.LAST: F.max_by(value, ordering(order)),
     }[Aggregation.of(agg)].alias("value")
+
+
+def aggregate_columns(agg: str | Aggregation | list[str | Aggregation], order: str = "time") -> list[Column]:
+    """The column value of one aggregate, or a column of its own name for each of a list."""
+    if not isinstance(agg, (list, tuple)):
+        return [aggregate_column(agg, order)]
+    return [aggregate_column(a, order).alias(Aggregation.of(a).value) for a in agg]

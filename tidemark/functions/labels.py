@@ -21,7 +21,7 @@ def labels_key(labels: Column) -> Column:
 def check_labels(labels: dict[str, str]) -> None:
     for k, v in labels.items():
         if not isinstance(k, str) or not isinstance(v, str):
-            raise BadRequest(f"labels must be strings: {k!r}: {v!r}")
+            raise BadRequest(f"a label and its value are strings, not {k!r} and {v!r}")
 
 
 def labels_column(labels: dict[str, str]) -> Column:

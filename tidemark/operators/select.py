@@ -43,9 +43,10 @@ def sample_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*SERIES).agg(F.count("*").alias("samples"))
 
 
-def select_series(samples: DataFrame, name: str, matchers: dict[str, str], start: float, end: float) -> DataFrame:
+def select_series(samples: DataFrame, name: str, matchers: dict[str, str], start: float, end: float, catalogue: DataFrame | None = None) -> DataFrame:
     """The samples of every series whose labels match the patterns; a series without samples in the range gives one row
-    with null ts, value and seq."""
-    chosen = series(samples.where((F.col("name") == name) & matches(matchers)))
-    inside = samples.where((F.col("name") == name) & matches(matchers) & in_range(start, end)).select(*SERIES, "ts", "value", "seq")
+    with null ts, value and seq. With a catalogue (a row per series), samples outside the range are never read."""
+    like = (F.col("name") == name) & matches(matchers)
+    chosen = series(samples.where(like)) if catalogue is None else catalogue.where(like).select("name", "labels", "labels_key", "first_seq")
+    inside = samples.where(like & in_range(start, end)).select(*SERIES, "ts", "value", "seq")
     return chosen.join(inside, SERIES, "left").select("name", "labels", "labels_key", "first_seq", "ts", "value", "seq")

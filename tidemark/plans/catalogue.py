@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import NoData
 from tidemark.functions.labels import labels_from_json, labels_key
 from tidemark.operators.aggregate import aggregate, downsample
 from tidemark.operators.chunks import with_chunk, zone_map
 from tidemark.operators.instant import LOOKBACK, instant
 from tidemark.operators.rate import rate
 from tidemark.operators.select import range_scan, sample_counts, select_series, series, series_count
+from tidemark.plans.engine import MetricEngine
 from tidemark.schema import SERIES
 from tidemark.sources import adapters
+from tidemark.sources.folders import new_folder
 from tidemark.sources.ingest import normalise, valid
 
 DAY, START = 86_400.0, 1_704_067_200.0  # the first event's day
+AGGREGATES = ["mean", "sum", "min", "max", "count", "last"]
 EVENTS = """e AS (
   SELECT event_type AS name, '[{"key":"user_id","value":"' || user_id || '"}]' AS labels_key, user_id,
          epoch_us(ts) / 1e6 AS ts, value, event_id AS seq FROM events
@@ -59,13 +63,12 @@ def range_downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six aggregates of all events, in one pass, and the aggregate of nothing."""
     samples = adapters.events(spark, sf_dir)
-    rows = [aggregate(samples.where(F.col("name") == "click"), a).select(F.lit(a).alias("agg"), F.round("value", 6).alias("value")) for a in ("mean", "sum", "min", "max", "count", "last")]
-    empty = aggregate(samples.where(F.col("name") == "absent"), "count").select(F.lit("empty").alias("agg"), F.isnan("value").cast("double").alias("value"))
-    out = empty
-    for row in rows:
-        out = out.unionByName(row)
-    return out
+    row = aggregate(samples, AGGREGATES)
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("agg"), F.round(a, 6).alias("value")) for a in AGGREGATES)))
+    empty = aggregate(samples.where(F.lit(False)), "count").select(F.lit("empty").alias("agg"), F.isnan("value").cast("double").alias("value"))
+    return row.select(each.alias("x")).select("x.agg", "x.value").unionByName(empty)
 
 
 def downsample_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +76,7 @@ def downsample_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def downsample_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = adapters.orders(spark, sf_dir)
-    last, count = (downsample(samples, 30 * DAY, a, "arrival").withColumnRenamed("value", a) for a in ("last", "count"))
-    return last.join(count, [*SERIES, "ts"])
+    return downsample(adapters.orders(spark, sf_dir), 30 * DAY, ["last", "count"], "arrival")
 
 
 def rate_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +135,63 @@ def labels_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", labels_key(labels_from_json(F.col("props"))).alias("labels_key"))
 
 
+_STORES: dict[tuple[str, str], MetricEngine] = {}
+
+
+def event_engine(spark: SparkSession, sf_dir: str) -> MetricEngine:
+    """An engine over a new store that holds all events, in two batches: those of even users, then those of odd ones."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        e = spark.read.parquet(f"{sf_dir}/events.parquet")
+        labels = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"))
+        points = e.select(F.col("event_type").alias("name"), labels.alias("labels"), adapters.epoch_seconds(F.col("ts")).alias("timestamp"), "value", "event_id", (F.col("user_id") % 2).alias("odd"))
+        engine = MetricEngine(spark, new_folder(spark, "store"))
+        for odd in (0, 1):
+            engine.ingest_batch(points.where(F.col("odd") == odd).drop("odd"), arrival="event_id")
+        _STORES[key] = engine
+    return _STORES[key]
+
+
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_engine(spark, sf_dir).samples.select("name", "labels_key", "ts", "value", "seq")
+
+
+def store_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_engine(spark, sf_dir).catalogue.select("name", "labels_key", "first_seq", "samples", "min_ts", "max_ts")
+
+
+def store_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([tuple(event_engine(spark, sf_dir).health().values())], "status string, series long")
+
+
+def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_engine(spark, sf_dir).range("view", START, START + 25 * DAY, '{"user_id": "7"}')
+
+
+def store_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    try:
+        found = [event_engine(spark, sf_dir).instant("click", {"user_id": "8"}, START + 20 * DAY, 20 * DAY)]
+    except NoData:
+        found = []
+    return spark.createDataFrame([(x["name"], x["timestamp"], x["value"]) for x in found], "name string, ts double, value double")
+
+
+def store_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_engine(spark, sf_dir).select("click", {"user_id": "[!2-9]*"}, START, START + 2 * DAY)
+    return found.groupBy(*SERIES).agg(F.count("ts").alias("samples"), F.min("first_seq").alias("first_seq"))
+
+
+def single_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five regions as points of one time, each ingested by itself: LAST takes the last to arrive, an instant the first."""
+    engine = MetricEngine(spark, new_folder(spark, "store"))
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect():
+        engine.ingest("region", r["r_regionkey"], {}, 100.0)
+    last = engine.range("region", 0, 200, {}, 50.0, "last").head()["value"]
+    seqs = [r["seq"] for r in engine.range("region", 0, 200).collect()]
+    found = [("last", last), ("instant", engine.instant("region", {}, 100.0)["value"]), ("distinct_seq", float(len(set(seqs)))), ("largest_seq", float(max(seqs)))]
+    return spark.createDataFrame(found, "what string, value double")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_scan_exact": range_scan_exact,
     "range_downsampled": range_downsampled,
@@ -153,15 +211,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_zone_map": chunk_zone_map,
     "ingest_normalise": ingest_normalise,
     "labels_from_json": labels_of_json,
+    "store_round_trip": store_round_trip,
+    "store_series": store_series,
+    "store_health": store_health,
+    "store_range": store_range,
+    "store_instant": store_instant,
+    "store_glob": store_glob,
+    "single_ingests": single_ingests,
 }
 _VALUE = {"mean": "round(avg(value), 6)", "sum": "round(sum(value), 6)", "min": "round(min(value), 6)", "max": "round(max(value), 6)", "count": "count(*)::DOUBLE", "last": "round(arg_max(value, {'a': ts, 'b': seq}), 6)"}
 _CHUNKS = f"WITH {ORDERS}, c AS (SELECT *, (row_number() OVER (PARTITION BY name, labels_key ORDER BY seq) - 1) // 120 AS chunk FROM o)"
 _RATE = """, p AS (SELECT *, lag(ts) OVER w AS t0, lag(value) OVER w AS v0 FROM {t} WINDOW w AS (PARTITION BY name, labels_key ORDER BY {by}))
 SELECT name, labels_key, ts, round(CASE WHEN value < v0 THEN value ELSE value - v0 END / (ts - t0), 6) AS value FROM p WHERE ts > t0"""
+#: Events as they lie in the store: the second batch's arrival numbers follow the first one's.
+_STORE = f"WITH {EVENTS}, s AS (SELECT name, labels_key, user_id, ts, value, CASE WHEN user_id % 2 = 0 THEN seq ELSE seq + 1 + (SELECT max(seq) FROM e WHERE user_id % 2 = 0) END AS seq FROM e)"
 ORACLES: dict[str, str] = {
     "range_scan_exact": f"WITH {EVENTS} SELECT name, labels_key, ts, value, seq FROM e WHERE name = 'click' AND user_id = 8 AND ts BETWEEN {START} AND {START + 20 * DAY}",
     "range_downsampled": f"WITH {EVENTS} SELECT name, labels_key, floor(ts / 21600.0) * 21600.0 AS ts, round(avg(value), 6) AS value FROM e WHERE name = 'view' AND user_id = 7 AND ts BETWEEN {START + 3600.5} AND {START + 25 * DAY} GROUP BY ALL",
-    "aggregate_all": f"WITH {EVENTS}, c AS (SELECT * FROM e WHERE name = 'click') SELECT 'empty' AS agg, 1.0::DOUBLE AS value " + " ".join(f"UNION ALL SELECT '{a}', {v} FROM c" for a, v in _VALUE.items()),
+    "aggregate_all": f"WITH {EVENTS} SELECT 'empty' AS agg, 1.0::DOUBLE AS value " + " ".join(f"UNION ALL SELECT '{a}', {v} FROM e" for a, v in _VALUE.items()),
     **{f"downsample_{a}": _bucketed(EVENTS, "e", DAY, v) for a, v in _VALUE.items()},
     "downsample_hot": _bucketed(LINES, "l", 30 * DAY, _VALUE["sum"]),
     "downsample_arrival": f"""WITH {ORDERS}, b AS (
@@ -183,4 +250,13 @@ ORACLES: dict[str, str] = {
     "chunk_zone_map": _CHUNKS + " SELECT name, labels_key, chunk, count(*) AS samples, min(ts) AS min_ts, max(ts) AS max_ts FROM c GROUP BY ALL",
     "ingest_normalise": f"WITH {EVENTS} SELECT ' ' || name AS name, labels_key, CASE WHEN seq % 5 = 0 THEN {START} ELSE ts END AS ts, value, seq FROM e WHERE seq % 7 <> 0",
     "labels_from_json": """SELECT event_id, '[{"key":"k","value":"' || (props->>'$.k') || '"}]' AS labels_key FROM events""",
+    "store_round_trip": _STORE + " SELECT name, labels_key, ts, value, seq FROM s",
+    "store_series": _STORE + " SELECT name, labels_key, min(seq) AS first_seq, count(*) AS samples, min(ts) AS min_ts, max(ts) AS max_ts FROM s GROUP BY ALL",
+    "store_health": _STORE + " SELECT 'ok' AS status, count(*) AS series FROM (SELECT DISTINCT name, labels_key FROM s)",
+    "store_range": _STORE + f" SELECT ts, value, seq FROM s WHERE name = 'view' AND user_id = 7 AND ts BETWEEN {START} AND {START + 25 * DAY}",
+    "store_instant": _STORE + f" SELECT name, {START + 20 * DAY}::DOUBLE AS ts, arg_max(value, {{'a': ts, 'b': -seq}}) AS value FROM s WHERE name = 'click' AND user_id = 8 AND ts BETWEEN {START} AND {START + 20 * DAY} GROUP BY name",
+    "store_glob": _STORE + f""" SELECT name, labels_key, count(*) FILTER (WHERE ts BETWEEN {START} AND {START + 2 * DAY}) AS samples, min(seq) AS first_seq
+      FROM s WHERE name = 'click' AND user_id::VARCHAR GLOB '[!2-9]*' GROUP BY ALL""",
+    "single_ingests": """SELECT 'last' AS what, max(r_regionkey)::DOUBLE AS value FROM region UNION ALL SELECT 'instant', min(r_regionkey)::DOUBLE FROM region
+      UNION ALL SELECT 'distinct_seq', count(*)::DOUBLE FROM region UNION ALL SELECT 'largest_seq', count(*)::DOUBLE - 1 FROM region""",
 }

@@ -21,12 +21,12 @@ def parse_labels(labels: str | dict | None) -> dict[str, str]:
         try:
             labels = json.loads(labels)
         except json.JSONDecodeError:
-            raise BadRequest("labels must be valid JSON") from None
+            raise BadRequest(f"labels can't be read as JSON: {labels!r}") from None
     if labels is not None and not isinstance(labels, dict):
-        raise BadRequest("labels must be a JSON object")
+        raise BadRequest(f"labels are pairs of a name and a string, not {labels!r}")
     for k, v in (labels or {}).items():
         if not isinstance(k, str) or not isinstance(v, str):
-            raise BadRequest(f"labels must be strings: {k!r}: {v!r}")
+            raise BadRequest(f"a label and its value are strings, not {k!r} and {v!r}")
     return labels or {}
 
 
@@ -46,11 +46,16 @@ class MetricEngine:
         return self.store
 
     def health(self) -> dict:
-        return {"status": "ok", "series": select.series_count(self.samples).head()[0]}
+        return {"status": "ok", "series": self.catalogue.count()}
+
+    @property
+    def catalogue(self) -> DataFrame:
+        """A row per series; of a store, from its own catalogue, without a look at any sample."""
+        return select.series(self._samples) if self.store is None else self.store.series()
 
     def series(self) -> DataFrame:
         """name, labels, in the order first written."""
-        return select.series(self.samples).orderBy("first_seq").select("name", "labels")
+        return self.catalogue.orderBy("first_seq").select("name", "labels")
 
     def ingest(self, name: str, value: float, labels: str | dict | None = None, timestamp: float | None = None) -> int:
         return self._writable().ingest(name, value, parse_labels(labels), timestamp)
@@ -62,7 +67,7 @@ class MetricEngine:
         """ts, value of one series: its samples (with seq), or their aggregates by buckets of step."""
         labels, agg = parse_labels(labels), Aggregation.of(agg)
         if not start < end:
-            raise BadRequest("start must be less than end")
+            raise BadRequest(f"the range from {start} to {end} holds no time")
         found = select.range_scan(self.samples, name, labels, start, end)
         if step is None:
             return found.select("ts", "value", "seq")
@@ -73,12 +78,12 @@ class MetricEngine:
 
     def select(self, name: str, matchers: str | dict | None, start: float, end: float) -> DataFrame:
         """All series of this name whose labels match the patterns, with their samples in the range."""
-        return select.select_series(self.samples, name, parse_labels(matchers), start, end)
+        return select.select_series(self.samples, name, parse_labels(matchers), start, end, self.catalogue)
 
     def instant(self, name: str, labels: str | dict | None = None, at: float | None = None, lookback: float = LOOKBACK) -> dict:
         """The value at a time (now, if none is given); raises NoData where there is none."""
         labels, at = parse_labels(labels), time.time() if at is None else at
         row = instant(select.range_scan(self.samples, name, labels, at - lookback, at), at, lookback).select(F.col("value")).head()
         if row is None:
-            raise NoData(f"no data found for {name!r}")
+            raise NoData(f"{name!r} has no sample from {at - lookback} to {at}")
         return {"name": name, "labels": labels, "timestamp": at, "value": row["value"]}

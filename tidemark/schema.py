@@ -25,3 +25,13 @@ POINTS = T.StructType(
         T.StructField("value", T.DoubleType()),
     ]
 )
+#: What a store's catalogue holds of a series.
+CATALOGUE = T.StructType(
+    [
+        *SAMPLES.fields[:3],
+        T.StructField("first_seq", T.LongType(), False),
+        T.StructField("samples", T.LongType(), False),
+        T.StructField("min_ts", T.DoubleType(), False),
+        T.StructField("max_ts", T.DoubleType(), False),
+    ]
+)

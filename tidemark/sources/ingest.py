@@ -1,20 +1,23 @@
-"""Validated points, and the Parquet dataset that they are appended to."""
+"""Validated points, and the store of batches that they are appended to."""
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.errors import BadRequest
+from tidemark.errors import BadRequest, Conflict
 from tidemark.functions.labels import labels_key
-from tidemark.schema import POINTS, SAMPLES
+from tidemark.schema import CATALOGUE, POINTS, SAMPLES, SERIES
 
 #: A character that is neither white space nor one of the four separators U+001C-U+001F.
 SOLID = r"(?U)[^\s\x1c-\x1f]"
+CLAIM_TRIES, CLAIM_WAIT_S = 100, 0.1
 
 
 def valid() -> Column:
@@ -45,24 +48,98 @@ def _point(point: dict) -> tuple:
 
 
 class SampleStore:
-    """A Parquet dataset of samples, a folder per metric name. It takes one writer at a time; readers see whole appends."""
+    """Batches of samples in Parquet, with a log of their arrival numbers and a catalogue of their series.
+
+    data/batch=N/name=.../   the samples of batch N, sorted by series and time
+    series/batch=N/          a row per series of the batch: first arrival number, number of samples, least and largest time
+    log/N.claim              made first, if it doesn't exist: the arrival numbers that batch N takes
+    log/N.done               made last: from then on readers see batch N, whole
+
+    Two writers never take the same numbers, as only one of them can make a claim; the other one takes the next. A batch
+    whose writer fails stays unseen, and its numbers unused. What the log decides costs a listing of it, whatever the
+    number of samples; where the file system can't create a file exclusively, there may be one writer at a time only."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _files(self):
+        return self._path("log").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _log(self, kind: str) -> list[int]:
+        """The numbers of the batches that are claimed or done, increasing."""
+        files = self._files()
+        if not files.exists(self._path("log")):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(self._path("log"))]
+        return sorted(int(n.split(".")[0]) for n in names if re.fullmatch(rf"\d+\.{kind}", n))
+
+    def _put(self, name: str, text: str) -> bool:
+        """Makes a file, unless there is one."""
+        try:
+            out = self._files().create(self._path(name), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass()):
+                return False
+            raise
+        out.writeBytes(text)
+        out.close()
+        return True
+
+    def _claimed(self, number: int) -> int:
+        """The first arrival number after those of a claimed batch."""
+        jvm = self.spark._jvm
+        for _ in range(CLAIM_TRIES):
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(self._files().open(self._path(f"log/{number}.claim"))))
+            line = reader.readLine()
+            reader.close()
+            if line:
+                return int(line.split()[1])
+            time.sleep(CLAIM_WAIT_S)  # another writer has made the file and is about to fill it
+        raise Conflict(f"the claim of batch {number} in {self.path} is empty: its writer stopped")
+
+    def next_seq(self) -> int:
+        """The first arrival number that no batch has taken."""
+        taken = self._log("claim")
+        return self._claimed(taken[-1]) if taken else 0
+
+    def _claim(self, n: int) -> tuple[int, int]:
+        """The number of a new batch, and the first of n arrival numbers that are its own."""
+        for _ in range(CLAIM_TRIES):
+            taken = self._log("claim")
+            number, first = (taken[-1] + 1, self._claimed(taken[-1])) if taken else (0, 0)
+            if self._put(f"log/{number}.claim", f"{first} {first + n}\n"):
+                return number, first
+        raise Conflict(f"too many writers claim batches of {self.path}")
+
+    def _batches(self, kind: str, schema: T.StructType) -> DataFrame:
+        done = self._log("done")
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        at = f"{self.path}/{kind}"
+        reader = self.spark.read.schema(schema.add("batch", T.LongType()) if "batch" not in schema.names else schema)
+        return reader.option("basePath", at).parquet(*(f"{at}/batch={n}" for n in done)).drop("batch")
 
     def read(self) -> DataFrame:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], SAMPLES)
-        return self.spark.read.schema(SAMPLES).parquet(self.path)
+        """The samples of all batches that are done at the time of the call."""
+        return self._batches("data", T.StructType(list(SAMPLES.fields)))
 
-    def next_seq(self) -> int:
-        return (self.read().agg(F.max("seq")).head()[0] or -1) + 1
+    def series(self) -> DataFrame:
+        """A row per series, from the catalogue: name, labels, labels_key, first_seq, samples, min_ts, max_ts."""
+        rows = self._batches("series", T.StructType(list(CATALOGUE.fields))).groupBy(*SERIES)
+        return rows.agg(F.first("labels").alias("labels"), F.min("first_seq").alias("first_seq"), F.sum("samples").alias("samples"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")).select(*CATALOGUE.names)
 
-    def append(self, samples: DataFrame) -> None:
+    def _write(self, number: int, samples: DataFrame) -> None:
         """Files sorted by series and time, so that row groups can be passed over by their statistics."""
+        at = f"{self.path}/data/batch={number}"
         spread = samples.repartitionByRange("name", "labels_key", "ts").sortWithinPartitions("name", "labels_key", "ts")
-        spread.write.mode("append").partitionBy("name").parquet(self.path)
+        spread.write.partitionBy("name").parquet(at)
+        own = self.spark.read.schema(SAMPLES).parquet(at).groupBy(*SERIES)
+        own = own.agg(F.first("labels").alias("labels"), F.min("seq").alias("first_seq"), F.count("*").alias("samples"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+        own.select(*CATALOGUE.names).write.parquet(f"{self.path}/series/batch={number}")
+        self._put(f"log/{number}.done", "")
 
     def ingest_batch(self, points: DataFrame | Iterable[dict], arrival: str | None = None, now: float | None = None) -> int:
         """Appends all points, or raises BadRequest and appends none; returns how many.
@@ -75,11 +152,15 @@ class SampleStore:
             points, arrival = self.spark.createDataFrame(rows, T.StructType([*POINTS.fields, T.StructField("_i", T.LongType())])), "_i"
         elif arrival is None:
             raise BadRequest("a DataFrame of points needs a column of their arrival")
-        total, bad = points.agg(F.count("*"), F.count_if(~valid())).head()
+        at = F.col(arrival)
+        total, bad, least, most = points.agg(F.count("*"), F.count_if(~valid() | at.isNull()), F.min(at), F.max(at)).head()
         if bad:
-            raise BadRequest(f"{bad} of {total} points have a blank name, no value, a null label or a time that isn't finite")
+            raise BadRequest(f"{bad} of {total} points have a blank name, no value, a null label, no arrival or a time that isn't finite")
         if total:
-            self.append(normalise(points, now, F.lit(self.next_seq()) + F.col(arrival)))
+            if least < 0:
+                raise BadRequest(f"arrival numbers start at 0, not at {least}")
+            number, first = self._claim(int(most) + 1)
+            self._write(number, normalise(points, now, F.lit(first) + at))
         return total
 
     def ingest(self, name: str, value: float, labels: dict[str, str] | None = None, timestamp: float | None = None) -> int:
