@@ -1,35 +1,27 @@
-"""What the operators of this subpackage share: the cluster's shared folder, written tables and byte-level word tools."""
+"""What the operators of this subpackage share: tables written in the shared folder, names, and byte-level word tools."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import delete_folder, new_folder
+
 #: The separators of words: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) a local one."""
-    bound_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL.get(app) or _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='spark-tidemark-')}")
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    """A path in the folder that all executors share (spark.checkpoint.dir)."""
+    bound_batches(spark)
+    return new_folder(spark, label)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -44,13 +36,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by written() that nothing reads any more."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df.tidemark_path
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        delete_folder(df.sparkSession, df.tidemark_path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the bytes of an Arrow batch to BATCH_BYTES: texts can be long, and a worker holds a batch several times."""
+    """Lowers the bytes of an Arrow batch to BATCH_BYTES for the session (a lower setting stays): texts can be long, and a
+    worker holds a batch several times."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(BATCH_BYTES + 1)).removesuffix("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
@@ -77,24 +83,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit value for each byte, and the powers of an odd multiplier, for word hashes.
-BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-RADIX = 0xD6E8FEB86659FD93
-_POWERS = np.cumprod(np.full(4096, RADIX, dtype=np.uint64), dtype=np.uint64)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
 
-def powers(n: int) -> np.ndarray:
-    """RADIX to the powers 1 to n, modulo 2 to the 64."""
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.cumprod(np.full(max(n, 2 * len(_POWERS)), RADIX, dtype=np.uint64), dtype=np.uint64)
-    return _POWERS
-
-
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the words in UTF-8 bytes."""
     solid = np.empty(len(data) + 2, dtype=np.int8)
@@ -104,15 +98,50 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Keeps the low bytes, 0 to 8 of them, of a 64-bit word.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+LONG_WORD = 256
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: equal words get equal hashes wherever they stand."""
+    """A 64-bit hash of each word: equal words get equal hashes wherever they stand. Eight bytes at a time go through a
+    mixing step; words of over LONG_WORD bytes get a BLAKE2 digest."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
     length = ends - starts
-    at = np.arange(len(data), dtype=np.int64) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    value = BYTE_VALUE[data]
-    value *= powers(int(np.max(at, initial=0)) + 1)[at]
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(value, out=total[1:])
-    return mix64(total[ends] - total[starts] + length.astype(np.uint64))
+    out = mix64(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, who = 0, np.flatnonzero(length <= LONG_WORD)
+    while len(who):
+        chunk = eight[starts[who] + at] & _LOW[np.minimum(length[who] - at, 8)]
+        out[who] = mix64((out[who] + np.uint64(0xD6E8FEB86659FD93)) ^ chunk)
+        at += 8
+        who = who[length[who] > at]
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of part, an array of the given size: one array per task, added up in two levels."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                total += part(pdf)
+        yield pd.DataFrame({"v": [total.tobytes()]})
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            for v in pdf["v"]:
+                total += np.frombuffer(v)
+        yield pd.DataFrame({"v": [total.tobytes()]})
+
+    tasks = rows.rdd.getNumPartitions()
+    sums = rows.mapInPandas(own, "v binary")
+    if tasks > 64:
+        sums = sums.repartition(int(np.ceil(np.sqrt(tasks)))).mapInPandas(both, "v binary")
+    return np.sum([np.frombuffer(r["v"]) for r in sums.collect()], axis=0) if tasks else np.zeros(size)
