@@ -14,13 +14,13 @@ a window meet in one shard. Consecutive windows of the same least hash make a se
   4. The intervals go back to the documents, whose remaining words are joined.
 
 A hash with more than HOT different segments (say, the end of a passage that a third of all documents quote, each followed
-by text of its own) would fill one shard; its segments are split into windows, those that occur once are dropped, and the
-others are dealt to shards by their own hash.
+by text of its own) would fill one shard; its segments are split into windows, those whose own hash occurs once are passed
+over as in the first step, and the others are dealt to shards by it, where the index decides as it does for segments.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+, unchanged; a null text has none; texts of fewer words than a window lose
 none; rows that repeat an id and text are occurrences of their own (so they lose all their windows); ids may be null; extra
-columns are ignored; an empty table gives an empty result. Words are compared by 64-bit hashes within a shard and segments
-by their bytes; windows may overlap within a document and count as occurrences there.
+columns are ignored; an empty table gives an empty result. Hashes only route: within a shard words are compared by their
+bytes, and so are segments when they are counted. Windows may overlap within a document and count as occurrences there.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, table, word_bounds, word_hashes, written
+from tidemark.llm.common import dropped, mix64, table, word_bounds, word_hashes, written
 from tidemark.llm.fm_index import FmIndex
 
 WINDOW, GRAM, SHARD_WORDS, HOT, CHUNK = 35, 8, 300_000, 5_000, 1 << 19
@@ -90,12 +90,9 @@ def chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def repeated_in_shard(texts: list[bytes], weights: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-    """For each segment the intervals of words that repeated windows cover."""
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    starts, ends = word_bounds(data)
-    _, symbol = np.unique(word_hashes(data, starts, ends), return_inverse=True)
-    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-    parts = np.split(symbol + 1, np.flatnonzero(np.diff(owner)) + 1)
+    """For each segment the intervals of words that repeated windows cover. Symbols stand for words by their bytes."""
+    symbol: dict[bytes, int] = {}
+    parts = [np.array([symbol.setdefault(w, len(symbol) + 1) for w in t.split()], dtype=np.int64) for t in texts]
     return FmIndex(parts, weights).repeated(parts, window)
 
 
@@ -128,6 +125,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     found = texts.select("k", "d", "text").join(of_doc.hint("shuffle_hash"), "k").mapInPandas(cut, "k long, d long, start int, h long, seg binary")
     keyed = found.select("k", "d", "start", "h", "seg", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg").alias("s2"))
     keyed = written(keyed, "segments")
+    dropped(anchors)
     distinct = written(keyed.groupBy("h", "seg").agg(F.count("*").alias("weight"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "distinct")
     hot = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h")
     few = distinct.join(hot, "h", "left_anti").select("h", "seg", "weight", "s1", "s2")
@@ -145,7 +143,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     split = distinct.join(hot, "h", "left_semi").mapInPandas(windows, "seg binary, weight long, s1 long, s2 long, at array<int>")
     split = split.select("weight", "s1", "s2", "at", F.xxhash64("seg").alias("w1"), F.xxhash64(F.lit(1), "seg").alias("w2"), "seg")
     split = written(split, "windows")
-    many = split.groupBy("seg").agg(F.sum("weight").alias("weight"), F.first("w1").alias("s1"), F.first("w2").alias("s2")).where("weight > 1")
+    again = split.groupBy("w1").agg(F.sum("weight").alias("n")).where("n > 1").select("w1")
+    many = split.join(again, "w1", "left_semi").groupBy("seg").agg(F.sum("weight").alias("weight"), F.first("w1").alias("s1"), F.first("w2").alias("s2"))
     pieces = written(few.select("h", "seg", "weight", "s1", "s2").unionByName(many.select(F.col("s1").alias("h"), "seg", "weight", "s1", "s2")), "pieces")
     words = pieces.agg(F.sum(F.octet_length("seg"))).head()[0] or 0
     shards = max(1, -(-words // (6 * SHARD_WORDS)))  # about six bytes a word
@@ -157,6 +156,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     sharded = pieces.select("seg", "weight", "s1", "s2", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
     hits = written(sharded.groupBy("shard").applyInPandas(search, "s1 long, s2 long, a int, b int"), "hits")
+    dropped(distinct, pieces)
     # a window's hit is one of the segments that it was split from
     of_windows = split.select("s1", "s2", "at", "w1", "w2").join(hits.select(F.col("s1").alias("w1"), F.col("s2").alias("w2")), ["w1", "w2"], "left_semi")
     of_windows = of_windows.select("s1", "s2", F.explode("at").alias("a")).withColumn("b", F.col("a") + window)
