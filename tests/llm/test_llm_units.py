@@ -173,3 +173,42 @@ def test_best_fit_against_a_plain_one(lengths):
         bins[b][1] += x
     want = (which, offset, [min(c for c in capacities if c >= used) for _, used in bins])
     assert packing.best_fit(lengths, capacities) == want
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+@pytest.mark.parametrize("n", [8, 64, 256, 512, 1024, 2048, 4096])
+def test_hashes_tell_balanced_words_apart(n):
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{a} {b} {a} {b}c {a[:-1]}".encode(), dtype=np.uint8)
+    h = word_hashes(data, *word_bounds(data))
+    assert h[0] == h[2] and len(set(h.tolist())) == 4
+
+
+def test_similarity_estimates_are_near(spark):
+    """Over sets of known similarity, the estimate's error is a few hundredths at most."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for similarity in (0.95, 0.9, 0.85, 0.8, 0.7):
+        for _ in range(40):
+            n = int(rng.integers(200, 500))
+            shared = round(2 * n * similarity / (1 + similarity))
+            values = np.unique(rng.integers(0, 2**63, 4 * n, dtype=np.uint64))
+            rng.shuffle(values)
+            a, b = np.sort(values[:n]), np.sort(np.concatenate([values[:shared], values[n : 2 * n - shared]]))
+            s = near_dedup.odd_sketches([a, b])
+            rows.append((n, n, s[0].tolist(), s[1].tolist(), shared / (2 * n - shared)))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "nu long, nv long, su array<long>, sv array<long>, true double")
+    est = near_dedup.similarity_estimate(*(F.col(c) for c in ("nu", "nv", "su", "sv")))
+    errors = np.array([r[0] for r in df.select(est - F.col("true")).collect()])
+    assert np.abs(errors).max() < 0.08 and abs(errors.mean()) < 0.005
+    links = df.where(F.col("true") >= 0.8)
+    assert links.where(near_dedup.may_link(*(F.col(c) for c in ("nu", "nv", "su", "sv")), 80)).count() == links.count()

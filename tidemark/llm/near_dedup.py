@@ -2,17 +2,22 @@
 
 One pass over the texts gives each document the size and a 128-bit digest of its shingle set, the keys of BANDS bands of
 MinHash values, and an odd sketch: its bottom-k MinHash sample folded into a bitmap of BITS bits, where each value of the
-sample flips one bit. The population count of the XOR of two sketches never exceeds the number of values by which the
-samples differ. Up to SAMPLE shingles the sample is the set itself, so a count above what the similarity allows rules a
-pair out for certain; above, the limit leaves six deviations of the sampling. Documents with the same set are one class;
-only its representative (the least id) goes on.
+sample flips one bit. From the population count of the XOR of two sketches follows an estimate of the number of values by
+which the samples differ, and so of the similarity (similarity_estimate). The count itself never exceeds that number. Up
+to SAMPLE shingles the sample is the set itself, so a count above what the similarity allows rules a pair out for certain;
+above, the estimate does, with six deviations of sampling and sketch to spare. Documents with the same set are one class;
+only its representative (the least id) goes on. A link is confirmed on the two texts, shingle by shingle, not on hashes.
 
 In a bucket of a band no list of all pairs is made. Every member is paired with one leader per bucket (the least of its
 ids, XORed with one of ORDERS constants, so leaders differ between bands). Pairs whose sketches rule the similarity out
-are passed over; the others are confirmed on the full sets. Members of a bucket that these links leave in different
-components are then compared with each other by their sketches, each pair in the first band that it shares, so no link
-between different sets is lost to the choice of leaders. A pair of similarity 0.8 shares a bucket with a probability of
-1 - 5e-8.
+are passed over; the others are confirmed on the texts. What these links leave of a bucket in different components is
+compared further, so no link between different sets is lost to the choice of leaders:
+  * members of a bucket of up to FEW documents with each other, by their sketches, in the first band that they share;
+  * members of larger buckets (say, documents that share a header and little else) by a prefix filter over all of them:
+    sets of a similarity of percent share one of their rarest shingles, as many as the similarity lets differ and one
+    more. How rare a shingle is comes from counts of all members' shingles in COUNTERS cells; any order is a right one,
+    and this one keeps the headers out of the lists. Sizes and places in the order rule out more, then the sketches.
+A pair of similarity 0.8 shares a bucket with a probability of 1 - 5e-8.
 
 Defined cases: A-Z are lower-cased; a set is of distinct runs of `shingle` words (fewer words: the whole sequence, as one);
 a null, empty or blank text has an empty set and is linked with nothing; rows that repeat an id count as one document
@@ -31,10 +36,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TO_LOWER, mix64, table, word_bounds, word_hashes, written
+from tidemark.llm.common import TO_LOWER, dropped, mix64, summed, table, unused, word_bounds, word_hashes, written
 from tidemark.llm.components import components
 
-BANDS, ROWS, SAMPLE, BITS, CHUNK = 32, 4, 1024, 1024, 1 << 19
+BANDS, ROWS, SAMPLE, BITS, CHUNK, FEW, COUNTERS = 32, 4, 1024, 1024, 1 << 19, 64, 1 << 18
 SAMPLES = BANDS * ROWS
 HOT_SHARE = 1 / 1000
 ORDERS = [int(x) for x in mix64(np.arange(101, 105, dtype=np.uint64)) >> np.uint64(2)]
@@ -87,14 +92,30 @@ def differing_bits(a: Column, b: Column) -> Column:
     return functools.reduce(operator.add, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64)))
 
 
+def difference_estimate(bits: Column) -> Column:
+    """How many values two samples differ by, from the bits by which their odd sketches do: each value flips one."""
+    share = F.greatest(F.lit(1.0) - bits * F.lit(2.0 / BITS), F.lit(1.0 / BITS))
+    return F.log(share) / F.lit(float(np.log(1 - 2 / BITS)))
+
+
+def similarity_estimate(nu: Column, nv: Column, su: Column, sv: Column) -> Column:
+    """Of two sets of up to SAMPLE shingles, from their sizes and sketches."""
+    d = F.least(difference_estimate(differing_bits(su, sv)), nu + nv)
+    return (nu + nv - d) / (nu + nv + d)
+
+
 def may_link(nu: Column, nv: Column, su: Column, sv: Column, percent: int) -> Column:
     """Neither the sizes nor the sketches rule out that the pair is alike."""
     large, small = F.greatest(nu, nv), F.least(nu, nv)
+    bits = differing_bits(su, sv)
     most = (nu + nv) * F.lit((100 - percent) / (100 + percent))  # by how many shingles the sets of a link may differ
     a, b = (F.least(F.lit(1.0), F.lit(float(SAMPLE)) / n) for n in (large, small))  # the shares that were sampled
     expected = a * most + (b - a) * small
-    limit = F.when(large <= SAMPLE, most + 1e-6).otherwise(expected + 6 * F.sqrt(expected) + 6)
-    return (100 * small >= percent * large) & (differing_bits(su, sv) <= limit)
+    # the sketch's own deviation: sqrt(BITS / 4 * (1 - q^2)) bits, q = (1 - 2 / BITS)^d, each worth 1 / q values
+    q = F.exp(expected * F.lit(float(np.log(1 - 2 / BITS))))
+    spread = F.sqrt(expected + F.lit(BITS / 4) * (1 - q * q) / (q * q))
+    sampled = difference_estimate(bits) <= expected + 6 * spread + 6
+    return (100 * small >= percent * large) & F.when(large <= SAMPLE, bits <= most + 1e-6).otherwise(sampled)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[slice]:
@@ -129,39 +150,73 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and s, its whole shingle set as bytes, of the documents of these ids, written."""
+@functools.lru_cache(maxsize=64)
+def shingles(text: str, shingle: int) -> frozenset:
+    """The set itself, of tuples of words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = min(shingle, len(words))
+    return frozenset(zip(*(words[i : len(words) - n + 1 + i] for i in range(n)), strict=True)) if n else frozenset()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for own in _chunks(texts):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[own], "s": [shingle_set(t, shingle).tobytes() for t in texts[own]]})
 
-    return written(docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary"), "sets")
+def alike(a: str, b: str, shingle: int, percent: int) -> bool:
+    x, y = shingles(a, shingle), shingles(b, shingle)
+    small, large = sorted((len(x), len(y)))
+    if not small or 100 * small < percent * large:
+        return False
+    shared = len(x & y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) those whose full sets are alike, written."""
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of pairs (u, v) those whose texts' shingle sets are alike, written."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["a"], pdf["b"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if not len(small) or 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[at] == small).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            keep = [alike(x, y, shingle, percent) for x, y in zip(pdf["a"], pdf["b"], strict=True)]
             yield pdf.loc[np.array(keep, dtype=bool), ["u", "v"]]
 
-    a, b = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b"))
+    a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
     return written(pairs.join(a, "u").join(b, "v").mapInPandas(check, "u long, v long"), "links")
 
 
+def prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """members: doc_id and c, of distinct documents. Pairs u < v of different c that a prefix filter does not rule out."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingle_set(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "c": pdf["c"], "s": [s.tobytes() for s in own]})
+
+    def count(pdf: pd.DataFrame) -> np.ndarray:
+        hashes = np.frombuffer(b"".join(pdf["s"]), dtype=np.uint64)
+        return np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(float)
+
+    known = written(texts.join(members.hint("shuffle_hash"), "doc_id").mapInPandas(sets, "doc_id long, c long, s binary"), "sets")
+    seen = summed(known.select("s"), count, COUNTERS).astype(np.float32)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, c, raw in zip(pdf["doc_id"], pdf["c"], pdf["s"], strict=True):
+                s = np.frombuffer(raw, dtype=np.uint64)
+                n = len(s)
+                if n:
+                    s = s[np.lexsort((s, seen[(s % np.uint64(COUNTERS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
+                    out.append(pd.DataFrame({"h": s.view(np.int64), "doc_id": doc, "c": c, "n": n, "at": np.arange(len(s))}))
+            if out:
+                yield pd.concat(out)
+
+    rows = written(known.mapInPandas(prefixes, "h long, doc_id long, c long, n long, at long"), "prefixes")
+    x, y = (rows.select("h", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), F.col("at").alias(f"at{d}")) for d in "uv")
+    sizes = (100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu"))
+    most = F.least("atu", "atv") + 1 + F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv")) - 1  # shared shingles
+    enough = (100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))
+    pairs = x.join(y, (x["h"] == y["h"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sizes & enough)
+    out = written(pairs.select("u", "v").distinct(), "pairs")
+    dropped(known, rows)
+    return out
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -174,27 +229,32 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("doc_id").bitwiseXOR(order)).alias("m"))
     leaders = leaders.where("n > 1").select("bucket", F.col("m").bitwiseXOR(order).alias("leader"))
     shared = written(buckets.join(leaders, "bucket"), "buckets")  # only buckets of two or more
-    sets = full_sets(texts, shared.select("doc_id").distinct(), shingle)
     a, b = (reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
     likely = may_link(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv"), percent)
     ordered = shared.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
-    links = confirm(ordered.join(a, "u").join(b, "v").where(likely).select("u", "v"), sets, percent)
+    links = confirm(ordered.join(a, "u").join(b, "v").where(likely).select("u", "v"), texts, shingle, percent)
     found = written(components(links), "components")
     # members of one bucket that are still apart
     at = shared.select("bucket", "doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
     at = at.select("bucket", "doc_id", F.coalesce("c", "doc_id").alias("c"))
-    apart = at.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
+    apart = at.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("bucket", "m")
+    left = written(at.join(apart, "bucket"), "left")
     halves = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
-    at = written(at.join(apart, "bucket", "left_semi").join(reps.select("doc_id", "n", "sketch", halves.alias("keys")), "doc_id"), "apart")
+    at = written(left.where(F.col("m") <= FEW).drop("m").join(reps.select("doc_id", "n", "sketch", halves.alias("keys")), "doc_id"), "apart")
     x, y = (at.select("bucket", *(F.col(name).alias(short + c) for name, short in (("doc_id", ""), ("c", "c"), ("n", "n"), ("sketch", "s"), ("keys", "k")))) for c in "uv")
     first_shared = F.coalesce(*(F.when(F.col("ku")[i] == F.col("kv")[i], F.lit(i)) for i in range(BANDS)))
     cross = (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & likely & (first_shared == x["bucket"].bitwiseAND(BANDS - 1))
-    rest = written(x.join(y, cross).select("u", "v").distinct(), "rest")
+    rest = x.join(y, cross).select("u", "v")
+    crowded = left.where(F.col("m") > FEW).select("doc_id", "c").distinct()
+    if crowded.head(1):
+        rest = rest.unionByName(prefix_pairs(crowded, texts, shingle, percent).join(a, "u").join(b, "v").where(likely).select("u", "v"))
+    rest = written(rest.distinct(), "rest")
     if rest.head(1):
-        more = confirm(rest, sets, percent)
+        more = confirm(rest, texts, shingle, percent)
         found = written(components(links.union(more)), "components")
     known = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rows", F.coalesce("component", "rep").alias("component_id"))
     known = written(known, "known")
+    dropped(reps, shared, left, at, rest)
     small = rows.select("doc_id", "n", "h1", "h2")
     part = small.where("doc_id IS NOT NULL AND n > 0")
     hot = known.where(F.col("rows") > HOT_SHARE * part.count()).drop("rows")  # at most 1 / HOT_SHARE rows, by counting
@@ -207,8 +267,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_dedup keeps, all columns as they are."""
-    gone = near_dedup(docs, shingle, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = near_dedup(docs, shingle, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def op6_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
