@@ -49,3 +49,45 @@ def test_no_usable_row_of_a_label_is_an_error(spark):
     with pytest.raises(ValueError, match="label 1"):
         toxicity.fit(docs, labels)
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
+
+
+def test_the_network_reads_the_order_of_words():
+    """Both classes hold the same words equally often, so their frequencies say nothing; only their order differs."""
+    rng = np.random.default_rng(0)
+
+    def text(toxic):
+        words = prose(rng, 40)
+        for at in rng.choice(19, 3, replace=False) * 2:
+            words[at : at + 2] = ["hate", "you"] if toxic else ["you", "hate"]
+        return " ".join(words)
+
+    y = np.arange(1000) % 2
+    model = toxicity.train([text(v) for v in y], y, 0.5)
+    assert np.abs(model.words).max() < 0.2  # what the class frequencies say
+    fresh = [text(v) for v in y[:400]]
+    right = lambda texts: ((model.score(texts) >= 0.5) == y[:400]).mean()
+    assert right(fresh) > 0.95
+    assert 0.4 < right([" ".join(rng.permutation(t.split())) for t in fresh]) < 0.6
+
+
+@pytest.mark.parametrize("text", ["word " * 5000, " ".join(f"w{i * i % 977}" for i in range(3001)), "x" * 9000 + " a b " * 700, "é" * 4000 + " end"])
+def test_blocks_of_a_long_text_have_its_windows(monkeypatch, text):
+    rng = np.random.default_rng(1)
+    model = toxicity.train([" ".join(prose(rng, 30) + BAD * (i % 2)) for i in range(60)], np.arange(60) % 2, 0.5)
+    texts = [text, text + " grotzvile skumhate", "skumhate " + text]
+    whole = model.score(texts)
+    for block in (16, 64, 1024):
+        monkeypatch.setattr(toxicity, "PIECE", 1000)
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "CHUNK", 1000)
+        for t in texts:
+            words = toxicity.Words([t])
+            data = [words.data[a:b] for a, b in zip(words.start, words.end)]
+            want = {tuple(data[f : f + toxicity.WINDOW]) for f in toxicity.windows_of(words.text, 1)[0]}
+            got = set()
+            for b in toxicity.word_blocks(t):
+                w = toxicity.Words([b])
+                own = [w.data[x:y] for x, y in zip(w.start, w.end)]
+                got |= {tuple(own[f : f + toxicity.WINDOW]) for f in toxicity.windows_of(w.text, 1)[0]}
+            assert got == want
+        assert model.score(texts) == pytest.approx(whole, abs=1e-5)

@@ -14,11 +14,14 @@ the highest, a random one, and one whose most suspect words are repeated all thr
 
 The input rows of a network are computed once per distinct word of a batch, so a step costs one small matrix product.
 
-Defined cases: null and empty texts, and texts without words, score as a text with no toxic word at all: the calibrated
-score of an empty window; repeated rows are scored alike; a null id is never held out; labels that are null, or disagree,
+Texts of any length have the same windows: a text of over PIECE bytes is read in blocks of words that overlap as windows
+do. Runs of over LONGEST_WORD bytes are several words.
+
+Defined cases: null and empty texts, and texts without words, have no window and get the calibrated score of a logit five
+below the network's bias; of rows that repeat a training id, the least text is learned from; repeated rows are scored alike; a null id is never held out; labels that are null, or disagree,
 are not learned from; with labelled documents of one class only, every score is 0; where both have some, but one has no
 text with words, fit() raises ValueError. Extra columns are ignored; an empty table gives an
-empty result. A text beyond PIECE characters is scored in overlapping pieces; its score is the highest.
+empty result.
 """
 
 from __future__ import annotations
@@ -36,25 +39,54 @@ from tidemark.llm.quality import held_out
 
 WINDOW, STRIDE, HIDDEN, VECTOR, THRESHOLD = 32, 16, 8, 4, 0.5
 SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 2000, 1 << 17, 1 << 16, 1 << 12, 4.0, 3.0
-LONGEST, EACH, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY, CHUNK, PIECE = 20_000, 24, 3, 6, 128, 0.01, 1e-4, 3e-2, 1 << 20, 1 << 20
+LONGEST, EACH, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY = 20_000, 24, 3, 6, 128, 0.01, 1e-4, 3e-2
+#: How much text is held at a time: characters of a chunk of texts, bytes of one text, words of a block of a longer one.
+CHUNK, PIECE, BLOCK, LONGEST_WORD = 1 << 20, 1 << 20, 1 << 16, 1024
 INPUT = 4 + 2 * VECTOR
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 _IN_WORD[128:] = True
 
 
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes; a run of over LONGEST_WORD bytes is cut into words of so many."""
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    parts = -(-(ends - starts) // LONGEST_WORD)
+    if np.any(parts > 1):
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, ends = np.repeat(starts, parts) + nth * LONGEST_WORD, np.repeat(ends, parts)
+        ends = np.minimum(ends, starts + LONGEST_WORD)
+    return starts, ends
+
+
+def word_blocks(text: str) -> Iterator[str | bytes]:
+    """A text whole, or where it has over PIECE bytes, in stretches of BLOCK words and what a window needs more: their
+    windows are those of the text, each in one of them (the last one may be there again)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= PIECE:
+        yield text
+        return
+    starts, ends = word_edges(np.frombuffer(raw, dtype=np.uint8))
+    first = 0
+    while first + BLOCK + WINDOW - STRIDE < len(starts):
+        yield raw[starts[first] : ends[first + BLOCK + WINDOW - STRIDE - 1]]
+        first += BLOCK
+    if len(starts):
+        yield raw[starts[max(0, min(first, len(starts) - WINDOW))] : ends[-1]]
+
+
 class Words:
     """The words of a batch of texts: text (index of each word's text), start and end (in bytes), word (its index among the distinct words), and of
     each distinct word its bucket and, flat, its 4-grams' buckets (first: where they start)."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes]):
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b" ".join(raw) + b" "
         data = TO_LOWER[np.frombuffer(self.data, dtype=np.uint8)]
-        inside = np.zeros(len(data) + 1, dtype=np.int8)
-        inside[1:] = _IN_WORD[data]
-        edge = np.diff(inside)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts, ends = word_edges(data)
         self.start, self.end = starts, ends
         hashes = word_hashes(data, starts, ends)
         distinct, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
@@ -185,15 +217,10 @@ class Network:
         return g, d_x, loss
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A long text in overlapping pieces of PIECE characters."""
-    return (text[i : i + PIECE] for i in range(0, max(1, len(text) - 4096), PIECE - 4096))
-
-
 def excerpt(text: str, toxic: int, counts: np.ndarray, docs: tuple[float, float], each: int = EACH) -> list[str]:
     """The windows to learn from of a long text. counts: documents of each class (toxic first) by word bucket."""
     found = []
-    for n, piece in enumerate(pieces(text)):
+    for n, piece in enumerate(word_blocks(text)):
         w = Words([piece])
         if not len(w.word):
             continue
@@ -203,7 +230,7 @@ def excerpt(text: str, toxic: int, counts: np.ndarray, docs: tuple[float, float]
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(w.bucket[w.word].astype(np.uint64)), dtype=np.uint64)])
         key, peak = mix64(total[last] - total[first]), np.array([odds[a:b].max() for a, b in zip(first, last, strict=True)])
         for k in np.union1d(np.lexsort((key, -peak))[:each], np.argsort(key, kind="stable")[:each]):
-            found.append((-float(peak[k]), int(key[k]), n, int(first[k]), w.data[w.start[first[k]] : w.end[last[k] - 1]].decode("utf-8", "surrogatepass")))
+            found.append((-float(peak[k]), int(key[k]), n, int(first[k]), w.data[w.start[first[k]] : w.end[last[k] - 1]].decode("utf-8", "replace")))
     chosen = set(sorted(found)[:each]) | set(sorted(found, key=lambda x: x[1:])[:each])
     return [x[4] for x in sorted(chosen, key=lambda x: x[2:4])]
 
@@ -254,8 +281,8 @@ class ToxicityModel:
             while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
                 size += len(texts[end])
                 end += 1
-            if end == at + 1 and len(texts[at]) > PIECE:
-                out[at] = max(float(self.highest([t])[0]) for t in pieces(texts[at]))
+            if end == at + 1:
+                out[at] = max((float(self.highest([t])[0]) for t in word_blocks(texts[at])), default=self.empty())
             else:
                 out[at:end] = self.highest(texts[at:end])
             at = end
@@ -419,7 +446,7 @@ def train(texts: list[str] | list[list[str]], toxic: np.ndarray, share: float, s
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> ToxicityModel | None:
     """Trains on at most sample rows of each class outside the held-out fold; None where a class has no document."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
     known = known.agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y2")).where((F.col("y") == F.col("y2")) & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -435,15 +462,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         raise ValueError(f"documents of both labels, but none with words of label {min(usable, key=usable.get)}")
     ids = [present.where((F.col("y") == y) & F.col("usable")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y") for y in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # at most 2 * sample rows
-    rows = written(text.where("usable").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "sample")
-    got = bounded(rows).toPandas().sort_values("doc_id")
+    rows = text.where("usable").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    rows = written(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")  # of rows that repeat an id, one
+    got = bounded(rows, longest).toPandas().sort_values("doc_id")
     dropped(present, rows)
     return train([list(p) for p in got["parts"]], got["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """doc_id, y and parts: the text whole, or the windows of a long one."""
-    is_long = F.char_length("text") > LONGEST
+def bounded(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """doc_id, y and parts: the text whole, or the windows of one of over longest characters."""
+    is_long = F.char_length("text") > longest
     whole = rows.where(~is_long).select("doc_id", "y", F.array("text").alias("parts"))
     if rows.where(is_long).isEmpty():
         return whole
@@ -452,7 +480,7 @@ def bounded(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             n = np.zeros((2, WORD_BUCKETS), dtype=np.int64)
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                n[1 - y][np.unique(np.concatenate([Words([t]).bucket for t in pieces(text)]))] += 1
+                n[1 - y][np.unique(np.concatenate([Words([t]).bucket for t in word_blocks(text)]))] += 1
             clean, bucket = np.nonzero(n)
             yield pd.DataFrame({"clean": clean, "bucket": bucket, "n": n[clean, bucket]})
 
