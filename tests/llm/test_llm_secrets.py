@@ -54,3 +54,125 @@ def test_what_a_base_span_leaves_of_a_run_is_tested(spark, tmp_path):
     found, masked = scanned(spark, tmp_path, tokens)
     hits = sum(k not in m and len(spans) == 1 and spans[0][1] - spans[0][0] >= 40 for k, m, spans in zip(keys, masked, found, strict=True))
     assert hits >= 55
+
+
+def letters_of(text):
+    return np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=128)[:128].astype(float)
+
+
+def null_token(rng, letters, rate, n, name):
+    """A token of the null hypothesis: symbols by the letter frequencies."""
+    alphabet = secrets.ENCODINGS[name][:64]
+    share = np.array([letters[ord(c)] for c in alphabet])
+    return "".join(rng.choice(list(alphabet), n, p=share / share.sum()))
+
+
+@pytest.mark.parametrize("n", [20, 40, 200])
+def test_p_values_hold_under_their_null(n):
+    """Of symbols drawn by letter frequencies, and of binomial class changes: P(p <= a) is at most about a."""
+    rng = np.random.default_rng(11)
+    letters = letters_of(PROSE * 5 + "0123456789 AND OTHER THINGS 42 7 1999")
+    trials = 3000
+    chi_p, run_p = [], []
+    for _ in range(trials):
+        token = null_token(rng, letters, 0.03, n, "base36")
+        k, data = 36, np.array([secrets.ENCODINGS["base36"].index(c) for c in token])
+        chi = float(((np.bincount(data, minlength=k) - n / k) ** 2).sum() * k / n)
+        chi_p.append(secrets.uniformity_p("base36", n, chi, letters))
+        run_p.append(secrets.runs_p(int(rng.binomial(n - 1, 0.03)), n - 1, 0.03))
+    for p in (np.array(chi_p), np.array(run_p)):
+        for a in (0.3, 0.1, 0.03, 0.01, 0.001):
+            assert (p <= a).mean() <= a + 4 * np.sqrt(a * (1 - a) / trials) + 0.15 * a
+    assert 0.3 < np.mean(chi_p) < 0.7  # and near uniform
+
+
+def test_false_discoveries_stay_below_their_rate():
+    rng = np.random.default_rng(13)
+    letters = letters_of(PROSE * 5 + "0123456789")
+    false = found = 0
+    for _ in range(20):
+        counts, kinds = {}, []
+        for i in range(400):
+            secret = i < 40
+            n = int(rng.integers(20, 80))
+            p = 10.0 ** -rng.uniform(5, 20) if secret else secrets.uniformity_p("base36", n, float(chi_of(null_token(rng, letters, 0, n, "base36"))), letters)
+            c, cell = int(np.floor(np.log2(n))), int(min(secrets.GRID, np.floor(-100 * np.log10(max(p, 1e-40)))))
+            m, total = counts.get((c, cell), (0, 0))
+            counts[c, cell] = (m + 1, total + n)
+            kinds.append((secret, c, p))
+        limit = secrets.accepted_p([(c, cell, m, n) for (c, cell), (m, n) in counts.items()], 0.05)
+        hits = [secret for secret, c, p in kinds if p <= limit[c]]
+        found += sum(hits)
+        false += len(hits) - sum(hits)
+    assert found >= 0.99 * 800
+    assert false / (found + false) <= 0.05
+
+
+def chi_of(token):
+    k, n = 36, len(token)
+    return ((np.bincount([secrets.ENCODINGS["base36"].index(c) for c in token], minlength=k) - n / k) ** 2).sum() * k / n
+
+
+def brute_force(texts):
+    """Random spans by plain loops: every run's tests one by one, exact binomial tails, and a sorted list of p-values."""
+    import math
+    import re
+    from collections import Counter
+
+    letters, places = Counter(), [0, 0]
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+    masks = {}
+    for doc, t in texts.items():
+        taken = set()
+        for s, e, _ in secrets.base_spans(t, secrets.code_points(t)):
+            taken.update(range(s, e))
+        masks[doc] = "".join("\n" if i in taken else c for i, c in enumerate(t))
+        plain = re.sub(r"[A-Za-z0-9+/_-]{%d,}" % secrets.MIN_RUN, "\n", masks[doc])
+        letters.update(c for c in plain if "\n" < c < "\x80")
+        for a, b in zip(plain, plain[1:]):
+            if kind(a) < 3 and kind(b) < 3:
+                places[0] += kind(a) != kind(b)
+                places[1] += 1
+    rate = max(places[0] / max(1, places[1]), 1e-6)
+    weights = np.array([float(letters[chr(c)]) for c in range(128)])
+    found = []
+    for doc, t in texts.items():
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{%d,}" % secrets.MIN_RUN, masks[doc]):
+            own = []
+            for s, e, tests, name, chi, changes, serial, turns, joints in secrets.candidates(t, *m.span()):
+                p = 1.0
+                if secrets.random_like(name, e - s, chi, changes, serial):
+                    tail = math.fsum(math.comb(joints, j) * rate**j * (1 - rate) ** (joints - j) for j in range(turns, joints + 1))
+                    p = min(1.0, tests * 2 * min(secrets.uniformity_p(name, e - s, chi, weights), tail))
+                own.append((s, e, p))
+            n = min(own[0][1] - own[0][0], secrets.LONG)
+            found.append((doc, own, min(p for _, _, p in own), n))
+    classes = {}
+    for _, _, _, n in found:
+        classes.setdefault(int(math.log2(n)), []).append(n)
+    overall = np.mean([n for _, _, _, n in found]) if found else 1
+    weight = {c: np.mean(ns) / overall for c, ns in classes.items()}
+    ranked = sorted(p / weight[int(math.log2(n))] for _, _, p, n in found)
+    best = max((q for i, q in enumerate(ranked, 1) if q <= secrets.FDR * i / len(ranked)), default=0.0)
+    out = {}
+    for doc, own, _, _ in found:
+        for s, e, p in own:
+            if p <= best * weight[int(math.log2(min(e - s, secrets.LONG)))]:
+                out.setdefault(doc, []).append((s, e))
+    return out
+
+
+def test_random_spans_against_plain_loops(spark):
+    from tidemark.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = np.random.default_rng(14)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for i in range(40):
+        texts[10**6 + i] = PROSE + "".join(rng.choice(list(secrets.ENCODINGS["base62"]), 24 + i)) + " " + PROSE
+    got = {}
+    for r in secrets.secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        spans = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"]
+        if spans:
+            got[r["doc_id"]] = spans
+    assert got == brute_force(texts) and sum(i >= 10**6 for i in got) >= 35

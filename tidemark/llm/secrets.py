@@ -7,15 +7,19 @@ digits or more. Base spans always stay.
 Method spans (kind random): every maximal run of at least MIN_RUN characters of [A-Za-z0-9+/_-] outside the base
 spans is a candidate; what a base span leaves of a longer run on either side is one of its own. Its encoding is inferred (decimal, hex, base32, base36, base62, base64 with either pair of signs), and
 three tests follow over the encoding's alphabet:
-  * chi-squared uniformity of the symbols: small where symbols are spread as by chance;
-  * runs: the number of changes of character class, which prose words all but lack;
-  * serial correlation of neighbouring symbol values, near none by chance.
-A candidate is random-like if no test rejects randomness at REJECT. The null hypothesis to be rejected is prose: its
-letter frequencies and rate of class changes are counted over all words of all documents; under it the chi-squared
-statistic is non-central and the class changes few. Both p-values, and the serial one, are joined by Stouffer's sum. Longer
-candidates have more power, so the false-discovery control is weighted: within a length class, weights in proportion to the
-mean length (averaging 1 over all candidates) scale the Benjamini-Hochberg thresholds. The threshold comes from counts of
-p-values on a fixed grid, one aggregation over all candidates, so no list of them is ever gathered.
+  * chi-squared uniformity of the symbols;
+  * runs: the number of changes of character class;
+  * serial correlation of neighbouring symbol values.
+A candidate is random-like if no test rejects randomness at REJECT. What is to be rejected for a finding is the null
+hypothesis that it is prose: symbols drawn independently by the letter frequencies of all that is neither a candidate nor a base
+span, over all documents, and class changes that occur between neighbouring letters and digits at the rate found there. Under it the chi-squared statistic
+is a sum of squared counts of known mean and variance (its lower tail, by the normal distribution, is on the safe side, as
+the statistic leans to the right), and the changes are binomial (upper tail, bounded from above). Twice the lesser of the
+two is the p-value, valid whatever their dependence; serial correlation says nothing against this null and only takes part
+in the test of randomness. What isn't random-like has the p-value 1. Longer candidates have more power, so the
+false-discovery control is weighted: within a length class, weights in proportion to the mean length (averaging 1 over all
+candidates) scale the Benjamini-Hochberg thresholds. The threshold comes from counts of p-values on a fixed grid, one
+aggregation over all candidates, so no list of them is ever gathered.
 
 A run of over LONG characters may be random in parts only (a header before a key). Where it isn't random-like as a whole,
 its pieces of PIECE characters, STEP apart, are tested instead, and what is accepted is merged. Its p-values are multiplied
@@ -36,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, table, written
+from tidemark.llm.common import dropped, quoted, table, unused, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -47,6 +51,9 @@ ENCODINGS = {"decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456
 #: The value of each character in each encoding; - and _ stand for + and /.
 _VALUE = {name: np.array([max(alphabet.find(chr(c)), 0) for c in range(128)]) for name, alphabet in ENCODINGS.items()}
 _VALUE["base64"][[45, 95]] = 62, 63
+_NAMES = list(ENCODINGS)
+#: For each character a bit per encoding that has it.
+_MEMBER = np.array([sum((chr(c) in alphabet) << i for i, alphabet in enumerate(ENCODINGS.values())) for c in range(128)])
 _HEX = np.zeros(128, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
 _RUN = np.zeros(128, dtype=bool)
@@ -83,9 +90,10 @@ def base_spans(text: str, points: np.ndarray) -> list[tuple[int, int, str]]:
     return out + [(s, e, "hex") for s, e in runs(_HEX[points], HEX_MIN)]
 
 
-def encoding_of(token: str) -> str:
-    chars = set(token)
-    return next(name for name, alphabet in ENCODINGS.items() if chars <= set(alphabet))
+def encoding_of(data: np.ndarray) -> str:
+    """The first encoding that has all of these characters."""
+    common = int(np.bitwise_and.reduce(_MEMBER[data]))
+    return _NAMES[(common & -common).bit_length() - 1]
 
 
 def normal_tail(z: float) -> float:
@@ -93,22 +101,30 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def statistics(token: str) -> tuple[str, float, int, float]:
-    """The encoding, chi-squared statistic, number of class changes and serial correlation of a token."""
-    name = encoding_of(token)
-    alphabet = ENCODINGS[name][:64]
+def statistics(token: str) -> tuple[str, float, int, float, int, int]:
+    """The encoding, chi-squared statistic, number of class changes and serial correlation of a token; and, of places
+    between two letters or digits, how many are class changes, and how many there are."""
     data = np.frombuffer(token.encode(), dtype=np.uint8)
+    name = encoding_of(data)
     value = _VALUE[name][data]
-    n, k = len(token), len(alphabet)
+    n, k = len(token), len(ENCODINGS[name][:64])
     chi = float(((np.bincount(value, minlength=k) - n / k) ** 2).sum() * k / n)
+    turns, joints = class_changes(data)
     kinds = _KIND[data]
     centred = value - value.mean()
     spread = float((centred**2).sum())
     serial = float((centred[1:] * centred[:-1]).sum() / spread) if spread else 1.0
-    return name, chi, int((kinds[1:] != kinds[:-1]).sum()), serial
+    return name, chi, int((kinds[1:] != kinds[:-1]).sum()), serial, turns, joints
+
+
+def class_changes(points: np.ndarray) -> tuple[int, int]:
+    """Of the places between two letters or digits, how many are class changes, and how many there are."""
+    kinds = _KIND[points]
+    inner = (kinds[1:] < 3) & (kinds[:-1] < 3)
+    return int((inner & (kinds[1:] != kinds[:-1])).sum()), int(inner.sum())
 
 
-def random_like(name: str, n: int, chi: float, changes: int, serial: float) -> bool:
+def random_like(name: str, n: int, chi: float, changes: int, serial: float, *_: int) -> bool:
     """No test of the battery rejects uniform randomness at REJECT."""
     k = len(ENCODINGS[name][:64])
     # Wilson-Hilferty: the cube root of a chi-squared variable is about normal
@@ -132,18 +148,33 @@ def candidates(text: str, start: int, end: int) -> list[tuple]:
     return [x for x in pieces if random_like(x[3], PIECE, *x[4:])] or [(start, end, len(at) + 1, *whole)]
 
 
-def prose_p(name: str, n: int, chi: float, changes: int, serial: float, letters: np.ndarray, change_rate: float) -> float:
-    """The p-value under prose: symbols as in the corpus (letters: share of each byte), classes changing at change_rate."""
+def uniformity_p(name: str, n: int, chi: float, letters: np.ndarray) -> float:
+    """The chance, for n symbols drawn by the corpus's letter frequencies, of a chi-squared statistic this low."""
     alphabet = ENCODINGS[name][:64]
     k = len(alphabet)
-    share = np.array([letters[ord(c)] for c in alphabet])
+    share = letters[[ord(c) for c in alphabet]]
     share = share / share.sum() if share.sum() > 0 else np.full(k, 1 / k)
-    excess = n * k * float(((share - 1 / k) ** 2).sum())
-    z_chi = (k - 1 + excess - chi) / math.sqrt(2 * (k - 1) + 4 * excess)
-    mean = (n - 1) * change_rate
-    z_runs = (changes - mean) / math.sqrt(mean * (1 - change_rate) + 1)
-    z_serial = 1 - abs(serial + 1 / n) * math.sqrt(n)
-    return normal_tail((2 * z_chi + 2 * z_runs + 0.25 * z_serial) / math.sqrt(4 + 4 + 0.0625))
+    p2, p3 = float((share**2).sum()), float((share**3).sum())
+    squares = (chi + n) * n / k  # the sum of the squared counts
+    mean = n + n * (n - 1) * p2
+    variance = 2 * n * (n - 1) * p2 * (1 - p2) + 4 * n * (n - 1) * (n - 2) * (p3 - p2 * p2)
+    return normal_tail((mean - squares) / math.sqrt(max(variance, 1e-9)))
+
+
+def runs_p(turns: int, joints: int, rate: float) -> float:
+    """An upper bound of the chance of so many class changes or more, each of probability rate."""
+    odds = rate / (1 - rate)
+    ratio = (joints - turns) / (turns + 1) * odds  # of each term of the tail to the one before, at most
+    if turns == 0 or ratio >= 1:
+        return 1.0
+    log = math.lgamma(joints + 1) - math.lgamma(turns + 1) - math.lgamma(joints - turns + 1) + turns * math.log(odds) + joints * math.log(1 - rate)
+    return min(1.0, math.exp(log) / (1 - ratio))
+
+
+def prose_p(name: str, n: int, chi: float, changes: int, serial: float, turns: int, joints: int, letters: np.ndarray, change_rate: float) -> float:
+    """The p-value under prose; letters: counts or shares of each byte."""
+    rate = min(max(change_rate, 1e-6), 0.999)
+    return min(1.0, 2 * min(uniformity_p(name, n, chi, letters), runs_p(turns, joints, rate)))
 
 
 def weighted_length(run: Column) -> Column:
@@ -160,31 +191,32 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, base (base spans), runs (candidates with their statistics), letters and changes
-    (counts for the corpus)."""
+    """A row per row of docs: doc_id, base (base spans), runs (candidates with their statistics) and letters (counts for
+    the corpus: of each byte, then of class changes and of places where there could be one)."""
     schema = """doc_id long, key long, base array<struct<start:int,end:int,kind:string>>,
-        runs array<struct<run:int,start:int,end:int,tests:int,encoding:string,chi:double,changes:int,serial:double>>, letters array<long>, changes long"""
+        runs array<struct<run:int,start:int,end:int,tests:int,encoding:string,chi:double,changes:int,serial:double,turns:int,joints:int>>, letters array<long>"""
+    fields = ("run", "start", "end", "tests", "encoding", "chi", "changes", "serial", "turns", "joints")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            base, found, letters, changes = [], [], np.zeros(128, dtype=np.int64), 0
+            base, found, letters = [], [], np.zeros(130, dtype=np.int64)
             for text in pdf["text"]:
                 points = code_points(text)
                 own = base_spans(text, points)
-                letters += np.bincount(points, minlength=128)[:128]
-                kinds = _KIND[points]
-                changes += int(((kinds[1:] != kinds[:-1]) & (kinds[1:] < 3) & (kinds[:-1] < 3)).sum())
                 more = []
-                member = _RUN[points]
+                member, prose = _RUN[points], points.copy()
                 for s, e, _ in own:
-                    member[s:e] = False
+                    member[s:e], prose[s:e] = False, 0
                 for s, e in runs(member, MIN_RUN):
+                    prose[s:e] = 0
                     more += [(s, *x) for x in candidates(text, s, e)]
+                letters[:128] += np.bincount(prose, minlength=128)[:128]
+                letters[128:] += class_changes(prose)
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(own, key=lambda x: (x[0], KINDS.index(x[2])))])
-                found.append([dict(zip(("run", "start", "end", "tests", "encoding", "chi", "changes", "serial"), x, strict=True)) for x in more])
+                found.append([dict(zip(fields, x, strict=True)) for x in more])
             n = len(pdf)
             # the batch's counts stand in its first row
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "base": base, "runs": found, "letters": [letters.tolist()] * min(n, 1) + [[]] * (n - 1), "changes": [changes] * min(n, 1) + [0] * (n - 1)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "base": base, "runs": found, "letters": [letters.tolist()] * min(n, 1) + [[]] * (n - 1)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("key"))
     return rows.mapInPandas(run, schema)
@@ -193,16 +225,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def p_values(scanned: DataFrame) -> DataFrame:
     """scanned with p for each of its candidates: the p-value under prose times the tests of its run, 1 where it isn't
     random-like; and lead: the run's least p at its first candidate, null at the others."""
-    letters = np.zeros(128)
-    for r in scanned.select(F.posexplode("letters")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # 128 rows
+    letters = np.zeros(130)
+    for r in scanned.select(F.posexplode("letters")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # 130 rows
         letters[r["pos"]] = r["n"]
-    solid = letters[_KIND < 3].sum()
-    change_rate = float((scanned.agg(F.sum("changes")).head()[0] or 0) / max(1.0, solid))
+    letters, change_rate = letters[:128], float(letters[128] / max(1.0, letters[129]))
 
     @F.pandas_udf("p array<double>, lead array<double>")
     def p(found: pd.Series) -> pd.DataFrame:
         def one(x: dict) -> float:
-            n, args = x["end"] - x["start"], (x["chi"], x["changes"], x["serial"])
+            n, args = x["end"] - x["start"], (x["chi"], x["changes"], x["serial"], x["turns"], x["joints"])
             return min(1.0, x["tests"] * prose_p(x["encoding"], n, *args, letters, change_rate)) if random_like(x["encoding"], n, *args) else 1.0
 
         def leads(xs: list[dict], ps: list[float]) -> list[float | None]:
@@ -225,13 +256,18 @@ def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
     pairs = scored.select(F.explode(F.arrays_zip("runs", "lead")).alias("x")).where(F.col("x.lead").isNotNull()).select(weighted_length(F.col("x.runs")).alias("n"), F.col("x.lead").alias("p"))
     cell = F.least(F.lit(GRID), F.floor(F.lit(-100.0) * F.log10(F.greatest(F.col("p"), F.lit(1e-40))))).cast("int")
     counts = pairs.groupBy(length_class(F.col("n")).alias("c"), cell.alias("cell")).agg(F.count("*").alias("m"), F.sum("n").alias("n")).collect()  # at most classes x GRID rows
-    total, length = sum(r["m"] for r in counts), sum(r["n"] for r in counts)
+    return accepted_p([tuple(r) for r in counts], fdr)
+
+
+def accepted_p(counts: list[tuple[int, int, int, int]], fdr: float) -> dict[int, float]:
+    """The same from (length class, cell, candidates, their summed lengths); a cell stands for its upper edge."""
+    total, length = sum(m for _, _, m, _ in counts), sum(n for _, _, _, n in counts)
     if not total:
         return {}
-    mean = {c: sum(r["n"] for r in counts if r["c"] == c) / sum(r["m"] for r in counts if r["c"] == c) for c in {r["c"] for r in counts}}
+    mean = {c: sum(n for d, _, _, n in counts if d == c) / sum(m for d, _, m, _ in counts if d == c) for c in {c for c, _, _, _ in counts}}
     weight = {c: m / (length / total) for c, m in mean.items()}
-    # a cell stands for its upper edge; with weights, the procedure runs on p / weight
-    steps = sorted((min(1.0, 10 ** (-r["cell"] / 100)) / weight[r["c"]], r["m"]) for r in counts)
+    # with weights, the procedure runs on p / weight
+    steps = sorted((min(1.0, 10 ** (-cell / 100)) / weight[c], m) for c, cell, m, _ in counts)
     best, below = 0.0, 0
     for q, m in steps:
         below += m
@@ -290,14 +326,16 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with the spans of secrets() masked in the text (and its length, where there is such a column, made to fit);
     all other rows and columns as they are."""
-    found = secrets(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    same = (row_key(id_col, text_col) == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    rows = docs.join(found.hint("shuffle_hash"), same, "left")
-    hit = F.col("__spans").isNotNull()
-    rows = rows.withColumn(text_col, F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    at_id, at_key, at_spans, row = unused(docs, "span_id", "span_key", "spans_of", "row_key")
+    found = secrets(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias(at_id), F.col("key").alias(at_key), F.col("spans").alias(at_spans)).dropDuplicates([at_id, at_key])
+    rows = docs.withColumn(row, row_key(id_col, text_col))
+    same = (F.col(row) == F.col(at_key)) & F.col(id_col).cast("long").eqNullSafe(F.col(at_id))
+    rows = rows.join(found.hint("shuffle_hash"), same, "left")
+    hit = F.col(at_spans).isNotNull()
+    rows = rows.withColumn(text_col, F.when(hit, redacted(F.col(text_col), F.col(at_spans))).otherwise(F.col(text_col)))
     if length_col in docs.columns:
         rows = rows.withColumn(length_col, F.when(hit, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
