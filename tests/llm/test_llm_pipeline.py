@@ -80,3 +80,15 @@ def test_odd_rows(spark, sf_dir):
         assert docs.columns == COLUMNS
     assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["2", "3", "4", "None"]
     assert docs.where("doc_id = 4").head()["text"] == "[SECRET]"
+
+
+def test_columns_of_private_names(spark, sf_dir):
+    """Columns named as the operators' own ones come through every stage as they are."""
+    own = ["span_id", "span_key", "spans_of", "row_key", "row_id", "row_digest", "kept_id", "kept_digest", "copies", "gone", "digest", "key", "spans", "component_id", "a.b", "kept"]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in own]) for i, t in ((1, "one two three four five six"), (2, "password=abcdefghijkl1"), (3, "ONE two three four five six"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in own))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == [*COLUMNS, *own]
+    got = {r["doc_id"]: [r[c] for c in own] for r in docs.collect()}
+    assert got == {i: [f"{c}{i}" for c in own] for i in (2, 3)}

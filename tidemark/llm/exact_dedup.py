@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, new_path, table, written
+from tidemark.llm.common import ascii_lower, new_path, quoted, table, unused, written
 
 #: Groups with more than this share of the rows are joined by broadcast; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
@@ -87,24 +87,19 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, all columns as they are; of rows that repeat an id and text, one."""
-    names = docs.columns
-    kept = exact_dedup(docs, None, id_col, text_col).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
-    kept = written(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("__n")), "kept")
-    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), _digest(text_col).alias("__digest"))
-    kept = kept.withColumnsRenamed({"doc_id": "__kept_id", "digest": "__kept_digest"})
-    key = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
-    out = rows.join(kept.where("__n = 1"), key, "left_semi").select(*map(_quoted, names))
-    again = kept.where("__n > 1")
+    row_id, row_digest, kept_id, kept_digest, copies = unused(docs, "row_id", "row_digest", "kept_id", "kept_digest", "copies")
+    kept = exact_dedup(docs, None, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest))
+    kept = written(kept.groupBy(kept_id, kept_digest).agg(F.count("*").alias(copies)), "kept")
+    rows = docs.select("*", F.col(id_col).cast("long").alias(row_id), _digest(text_col).alias(row_digest))
+    key = F.col(row_id).eqNullSafe(F.col(kept_id)) & (F.col(row_digest) == F.col(kept_digest))
+    own = [F.col(quoted(c)) for c in docs.columns]
+    out = rows.join(kept.where(F.col(copies) == 1), key, "left_semi").select(*own)
+    again = kept.where(F.col(copies) > 1)
     if again.head(1):
-        more = rows.join(again, key, "left_semi").dropDuplicates(["__id", "__digest"]).select(*map(_quoted, names))
-        out = out.union(more)
+        out = out.union(rows.join(again, key, "left_semi").dropDuplicates([row_id, row_digest]).select(*own))
     return out
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
