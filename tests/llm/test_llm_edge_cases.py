@@ -283,3 +283,37 @@ def test_clashing_id_column(spark):
     got = exact_dedup.exact_dedup(df, id_col="id", text_col="body").collect()
     assert {r["doc_id"] for r in got} == {1, 2} and sum(r["kept"] for r in got) == 1
     assert near_dedup.near_dedup(df, 2, id_col="id", text_col="body").where(F.col("kept")).count() == 1
+
+
+def test_sequences_hold_every_token(spark, docs):
+    tokens = bpe.bpe(docs, TOKENIZER).select("doc_id", "ids", "n_tokens")
+    got = packing.sequences(tokens, capacities=(32, 256, 1024), shard_pieces=20).collect()
+    want = {}
+    for r in tokens.collect():
+        if r["ids"]:
+            want.setdefault(r["doc_id"], []).append(list(r["ids"]))
+    pieces = {}
+    for r in got:
+        assert r["capacity"] in (32, 256, 1024) and len(r["token_ids"]) == len(r["position_ids"]) <= r["capacity"]
+        ends = [s["start"] for s in r["segments"]][1:] + [len(r["token_ids"])]
+        for s, end in zip(r["segments"], ends, strict=True):
+            assert r["position_ids"][s["start"] : end] == list(range(end - s["start"]))
+            pieces.setdefault((s["doc_id"], s["piece"]), []).append(tuple(r["token_ids"][s["start"] : end]))
+    expected = {}
+    for i, all_ids in want.items():
+        for ids in all_ids:
+            for k in range(0, len(ids), 1024):
+                expected.setdefault((i, k // 1024), []).append(tuple(ids[k : k + 1024]))
+    assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in expected.items()}
+    assert packing.sequences(tokens.where("false")).count() == 0
+
+
+def test_shards_are_of_pieces_and_equal_rows_spread(spark):
+    """Few long documents, and one id in most rows: no shard gets much more than its share."""
+    df = spark.createDataFrame([(i, 64_000) for i in range(5)] + [(None, 3)] * 4000 + [(7, 5)] * 3000 + [(2**53 + 1, 9)], "doc_id long, n long")
+    got = packing.pack(df, F.col("n"), capacities=(16, 64), shard_pieces=1000)
+    rows = got.collect()
+    assert len(rows) == 5 * 1000 + 7001 and sum(r["doc_id"] == 2**53 + 1 for r in rows) == 1
+    assert sum(r["n_tokens"] for r in rows) == 5 * 64_000 + 12_000 + 15_000 + 9
+    per_shard = got.groupBy(F.pmod(F.col("bin_id"), F.lit(13)).alias("s")).count().collect()  # 12,001 pieces: 13 shards
+    assert len(per_shard) == 13 and max(r["count"] for r in per_shard) < 1200
