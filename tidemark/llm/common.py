@@ -14,7 +14,7 @@ from tidemark.sources.folders import delete_folder, new_folder
 
 #: The separators of words: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES, SUM_TASKS = 16 << 20, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -124,7 +124,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows of part, an array of the given size: one array per task, added up in two levels."""
+    """The sum over all rows of part, an array of the given size: one array per task, added up by SUM_TASKS tasks, whose
+    sums reach the driver."""
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
@@ -140,8 +141,5 @@ def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: in
                 total += np.frombuffer(v)
         yield pd.DataFrame({"v": [total.tobytes()]})
 
-    tasks = rows.rdd.getNumPartitions()
-    sums = rows.mapInPandas(own, "v binary")
-    if tasks > 64:
-        sums = sums.repartition(int(np.ceil(np.sqrt(tasks)))).mapInPandas(both, "v binary")
-    return np.sum([np.frombuffer(r["v"]) for r in sums.collect()], axis=0) if tasks else np.zeros(size)
+    sums = rows.mapInPandas(own, "v binary").repartition(SUM_TASKS).mapInPandas(both, "v binary").collect()
+    return np.sum([np.frombuffer(r["v"]) for r in sums], axis=0)

@@ -5,7 +5,8 @@ unlabelled sample. A linear model over features of the text minimises the non-ne
 loss: prior * mean over positives of l(f) + max(0, mean over unlabelled of l(-f) - prior * mean over positives of l(-f)).
 With that loss the unbiased risk is convex, and a Newton step needs sums over all rows only: each step is one Spark
 aggregation over the written features, and just the summed gradient and Hessian (their size is set by the features)
-reach the driver. A step that makes the estimated risk on negatives negative is halved until it isn't.
+reach the driver. A step that makes the estimated risk on negatives negative is halved until it isn't; so is the last
+one, and where halving does not help the weights before it stay.
 
 The class prior is estimated from all rows too: of a first model's scores, the least ratio of the unlabelled share above
 a threshold to the positives' share above it, each with its confidence margin.
@@ -20,16 +21,17 @@ positives at all, scores are the prior 0.5. Extra columns are ignored; an empty
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, table, word_bounds, word_hashes, written
+from tidemark.llm.common import mix64, summed, table, word_bounds, word_hashes, written
 
-FOLDS, THRESHOLD, RIDGE, STEPS, BINS = 5, 0.3, 0.1, 7, 400
+FOLDS, THRESHOLD, RIDGE, STEPS, HALVINGS, BINS = 5, 0.3, 0.1, 8, 5, 400
 CLASSES = [b" ", b"\n\r", b"\t\x0b\x0c", b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"AEIOU", b"BCDFGHJKLMNPQRSTVWXYZ", b"0123456789", b".", b",", b"!?", b"|", b"#$%&*+~^=@\\/_<>", b"()[]{}\"'`:;-", bytes(range(128, 256))]
 CLASS = np.full(256, len(CLASSES), dtype=np.intp)
 for _i, _group in enumerate(CLASSES):
@@ -79,23 +81,6 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(pdf["x"]), dtype=np.float16).reshape(len(pdf), N_FEATURES).astype(np.float64)
 
 
-def _summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows of part, an array of the given size."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for pdf in batches:
-            if len(pdf):
-                total += part(pdf)
-        yield pd.DataFrame({"i": np.arange(size), "v": total})
-
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    sums = rows.coalesce(tasks).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(size)
-    out[sums["i"]] = sums["v"]
-    return out
-
-
 class PuModel:
     """scale: what features are divided by; w: weights, the last the intercept's; prior: share of positives."""
 
@@ -108,69 +93,94 @@ class PuModel:
     def logits(self, pdf: pd.DataFrame) -> np.ndarray:
         return np.clip(self(pdf) @ self.w, -60, 60)
 
-    def newton(self, unlabelled: DataFrame, positive: DataFrame, steps: int) -> None:
+    def risk(self, rows: DataFrame, m: Moments) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """In one pass: the risk on positives, that on negatives (which may be below 0), and the gradient and Hessian of
+        their sum."""
         d = len(self.w)
-        n_u, n_p = unlabelled.count(), positive.count()
-        mean_p = _summed(positive, lambda pdf: self(pdf).sum(axis=0), d) / n_p
+
+        def part(pdf: pd.DataFrame) -> np.ndarray:
+            x, p = self(pdf), pdf["positive"].to_numpy(dtype=bool)
+            f = np.clip(x @ self.w, -60, 60)
+            s, loss = 1 / (1 + np.exp(-f)), np.logaddexp(0, f)
+            return np.concatenate([[loss.sum(), loss[p].sum(), f[p].sum()], s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
+
+        sums = summed(rows, part, 3 + d + d * d)
+        positive = self.prior * (sums[1] - sums[2]) / m.n_positive  # l(f) = l(-f) - f
+        negative = sums[0] / m.n - self.prior * sums[1] / m.n_positive
+        gradient = sums[3 : 3 + d] / m.n - self.prior * (m.sum_positive / m.n_positive - self.mean) / self.scale
+        return positive, negative, gradient, sums[3 + d :].reshape(d, d) / m.n
+
+    def newton(self, rows: DataFrame, m: Moments, steps: int) -> None:
+        """Steps from weights of a risk on negatives of 0 or more (such as the first ones, 0) to others of that kind."""
+        ridge = np.full(len(self.w), RIDGE)
+        ridge[-1] = 1e-9
         last = self.w.copy()
         for _ in range(steps):
-
-            def part(pdf: pd.DataFrame) -> np.ndarray:
-                x = self(pdf)
-                f = np.clip(x @ self.w, -60, 60)
-                s = 1 / (1 + np.exp(-f))
-                return np.concatenate([[np.logaddexp(0, f).sum()], s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
-
-            def negative(pdf: pd.DataFrame) -> np.ndarray:
-                return np.array([np.logaddexp(0, self.logits(pdf)).sum()])
-
-            sums = _summed(unlabelled, part, 1 + d + d * d) / n_u
-            if sums[0] - self.prior * _summed(positive, negative, 1)[0] / n_p < 0:
+            _, negative, gradient, hessian = self.risk(rows, m)
+            if negative < 0:
                 self.w = (self.w + last) / 2
                 continue
-            ridge = np.full(d, RIDGE)
-            ridge[-1] = 1e-9
-            gradient = sums[1 : 1 + d] - self.prior * mean_p + ridge * self.w
             last = self.w.copy()
-            step = np.linalg.solve(sums[1 + d :].reshape(d, d) + np.diag(ridge), gradient)
+            step = np.linalg.solve(hessian + np.diag(ridge), gradient + ridge * self.w)
             self.w = self.w - step * min(1.0, 20 / max(1e-9, float(np.abs(step).max())))
             if np.abs(step).max() < 1e-3:
                 break
+        for _ in range(HALVINGS):  # the last step has not been checked yet
+            if self.risk(rows, m)[1] >= 0:
+                return
+            self.w = (self.w + last) / 2
+        self.w = last
 
-    def estimate_prior(self, unlabelled: DataFrame, positive: DataFrame, delta: float = 0.1, gamma: float = 0.01) -> None:
+    def estimate_prior(self, rows: DataFrame, m: Moments, delta: float = 0.1, gamma: float = 0.01) -> None:
         def histogram(pdf: pd.DataFrame) -> np.ndarray:
-            s = 1 / (1 + np.exp(-self.logits(pdf)))
-            return np.bincount(np.minimum((s * BINS).astype(int), BINS - 1), minlength=BINS).astype(float)
+            cell = np.minimum((BINS / (1 + np.exp(-self.logits(pdf)))).astype(int), BINS - 1)
+            return np.concatenate([np.bincount(c, minlength=BINS) for c in (cell, cell[pdf["positive"].to_numpy(dtype=bool)])]).astype(float)
 
-        n_u, n_p = unlabelled.count(), positive.count()
-        above = [np.cumsum(_summed(x, histogram, BINS)[::-1]) / n for x, n in ((unlabelled, n_u), (positive, n_p))]
-        margin = np.sqrt(np.log(4 / delta) / 2 / n_u) + np.sqrt(np.log(4 / delta) / 2 / n_p)
+        counts = summed(rows, histogram, 2 * BINS)
+        above = [np.cumsum(own[::-1]) / n for own, n in ((counts[:BINS], m.n), (counts[BINS:], m.n_positive))]
+        margin = np.sqrt(np.log(4 / delta) / 2 / m.n) + np.sqrt(np.log(4 / delta) / 2 / m.n_positive)
         usable = above[1] > 0.05
         upper = (above[0] + (1 + gamma) * margin)[usable] / above[1][usable]
         best = int(np.argmin(upper))
         self.prior = float(np.clip(above[0][usable][best] / above[1][usable][best], 0.01, 0.99))
 
 
-def fit(rows: DataFrame) -> PuModel | None:
-    """rows: x, positive (boolean); all of them are the unlabelled sample. None if there are no positives."""
+@dataclass
+class Moments:
+    """Of all rows: n, and sums of the features and of their squares; of the positives: n_positive, sum_positive."""
+
+    n: float
+    n_positive: float
+    total: np.ndarray
+    squares: np.ndarray
+    sum_positive: np.ndarray
+
+
+def moments(rows: DataFrame) -> Moments:
     d = N_FEATURES
 
-    def moments(pdf: pd.DataFrame) -> np.ndarray:
-        x = _matrix(pdf)
-        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+    def part(pdf: pd.DataFrame) -> np.ndarray:
+        x, p = _matrix(pdf), pdf["positive"].to_numpy(dtype=bool)
+        return np.concatenate([[len(x), p.sum()], x.sum(axis=0), (x * x).sum(axis=0), x[p].sum(axis=0)])
 
-    positive = rows.where("positive")
-    if not positive.head(1):
+    sums = summed(rows, part, 2 + 3 * d)
+    return Moments(sums[0], sums[1], *np.split(sums[2:], 3))
+
+
+def fit(rows: DataFrame) -> PuModel | None:
+    """rows: x, positive (boolean); all of them are the unlabelled sample. None if there are no positives."""
+    m = moments(rows)
+    if not m.n_positive:
         return None
-    m = _summed(rows, moments, 1 + 2 * d)
-    mean = m[1 : 1 + d] / m[0]
-    scale = np.sqrt(np.maximum(m[1 + d :] / m[0] - mean**2, 0))
+    mean = m.total / m.n
+    scale = np.sqrt(np.maximum(m.squares / m.n - mean**2, 0))
     still = scale < 1e-3
     mean[-1], scale[still] = 0, 1.0
     model = PuModel(scale, mean)
-    model.newton(rows, positive, 3)
-    model.estimate_prior(rows, positive)
-    model.newton(rows, positive, STEPS)
+    model.newton(rows, m, 3)
+    model.estimate_prior(rows, m)
+    model.w = np.zeros(N_FEATURES)  # where the risk on negatives is above 0, whatever the prior
+    model.newton(rows, m, STEPS)
     return model
 
 
