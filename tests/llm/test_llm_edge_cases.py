@@ -99,6 +99,43 @@ def test_exact_runs_no_python(docs):
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
 
 
+def test_exact_runs_no_python_at_all(spark, sf_dir, monkeypatch):
+    """Nor in any table that is written on the way; and nothing is left in the catalogue."""
+    plans, write = [], exact_dedup.written
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(exact_dedup, "written", noted)
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.op7_exact_dedup(spark, sf_dir)
+    exact_dedup.drop_duplicates(frame(spark, ROWS))
+    assert len(plans) >= 10 and not any(x in p for p in plans for x in ("Python", "Pandas", "MapInArrow"))
+    assert any("SortMergeJoin" in p and "LeftAnti" in p for p in plans)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_exact_in_batches(spark, docs):
+    """What is in the index stays: of equal texts one of the first batch, whatever the ids of later ones."""
+    batches = [docs.where("doc_id > 10"), docs.where("doc_id <= 5"), docs.where("doc_id IS NULL OR doc_id BETWEEN 6 AND 10")]
+    rows = exact_dedup.exact_dedup_batches(batches).collect()
+    assert len(rows) == len(ROWS)
+    by = {(r["doc_id"], r["text_sha256"]): r for r in rows}
+    for i, t in ROWS:
+        same = [(j, u) for j, u in ROWS if exact_fold(u) == exact_fold(t)]
+        r = by[i, hashlib.sha256(exact_fold(t).encode()).hexdigest()]
+        order = lambda j: 1 if j is not None and j <= 5 else 0 if j is not None and j > 10 else 2
+        first = min(order(j) for j, _ in same)
+        keep = max((j for j, _ in same if j is not None and order(j) == first), default=None)
+        assert (r["group_size"], r["keep_id"], r["kept"]) == (len(same), keep, i == keep)
+    assert exact_dedup.exact_dedup_batches([docs.where("false")]).count() == 0
+
+
+def exact_fold(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
 def test_near(docs, none):
     rows = near_dedup.near_dedup(docs, 2).collect()
     assert len(rows) == len(ROWS)

@@ -2,7 +2,13 @@
 
 The index is a table bucketed and sorted by digest. New rows are hashed, grouped by digest (partial aggregation, so a
 digest with a third of all rows is summed before it is shuffled), and sort-merge anti-joined with the index; groups that
-it lacks are appended. Reading the index for a join on its digest needs no exchange on its side.
+it lacks are appended, the others are given what it holds. Reading the index for a join on its digest needs no exchange on
+its side. The order within its files keeps digests of a row group close together; a merge join still sorts a bucket, since
+each batch appends a file to it.
+
+exact_dedup() judges one batch against an index. exact_dedup_batches() adds several, and says of all their rows what the
+index holds in the end; the query does so with two halves of the table, the one of larger ids first, as what is in the
+index stays. An index made for one call is dropped at its end, once the result has been written.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z only; of equal new
 texts the row with the largest id stays (null ids lose; if all are null, keep_id is null and all are kept); rows that
@@ -13,12 +19,14 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, new_path, quoted, table, unused, written
+from tidemark.llm.common import ascii_lower, dropped, new_path, quoted, table, unused, written
+from tidemark.sources.folders import delete_folder
 
 #: Groups with more than this share of the rows are joined by broadcast; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
@@ -50,30 +58,28 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Takes the table out of the catalogue and deletes its files."""
+        at = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Location'").head()["data_type"]
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete_folder(self.spark, at)
+
     def add(self, hashed: DataFrame) -> DataFrame:
         """Appends the digests that are new; returns one row per digest of hashed: digest, keep_id, group_size (of this
-        batch, with what the index holds), rows (of this batch)."""
+        batch, with what the index holds), rows (of this batch), seen (before)."""
         groups = written(hashed.groupBy("digest").agg(F.max("doc_id").alias("new_id"), F.count("*").alias("rows")), "groups")
         known = self.read().hint("merge")
-        verdicts = groups.join(known, "digest", "left").select(
-            "digest",
-            F.when(F.col("group_size").isNull(), F.col("new_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            (F.col("rows") + F.coalesce("group_size", F.lit(0))).alias("group_size"),
-            F.col("group_size").isNotNull().alias("seen"),
-            "rows",
-        )
-        verdicts = written(verdicts, "verdicts")  # before the append, which changes what known reads
-        fresh = groups.join(known, "digest", "left_anti").select("digest", F.col("new_id").alias("keep_id"), F.col("rows").alias("group_size"))
-        self._write(fresh.repartition(self.buckets, "digest"))
-        return verdicts
+        fresh = groups.join(known, "digest", "left_anti").select("digest", F.col("new_id").alias("keep_id"), F.col("rows").alias("group_size"), "rows", F.lit(False).alias("seen"))
+        again = groups.join(known, "digest").select("digest", "keep_id", (F.col("rows") + F.col("group_size")).alias("group_size"), "rows", F.lit(True).alias("seen"))
+        fresh, again = written(fresh, "fresh"), written(again, "again")  # before the append, which changes what known reads
+        dropped(groups)
+        self._write(fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest"))
+        return fresh.unionByName(again)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Adds the batch to the index."""
-    index = index or DigestIndex(docs.sparkSession)
-    hashed = written(digests(docs, id_col, text_col), "digests")
-    verdicts = index.add(hashed)
-    hot = verdicts.where(F.col("rows") > HOT_SHARE * hashed.count())  # at most 1 / HOT_SHARE rows, by counting
+def _told(hashed: DataFrame, verdicts: DataFrame, n_rows: int) -> DataFrame:
+    """hashed with what verdicts (a row per digest, rows of it among hashed) say."""
+    hot = verdicts.where(F.col("rows") > HOT_SHARE * n_rows)  # at most 1 / HOT_SHARE rows, by counting
     split = hashed.join(F.broadcast(hot), "digest", "left")
     rest = split.where(F.col("rows").isNull()).select("doc_id", "digest").join(verdicts, "digest", "left")
     return split.where(F.col("rows").isNotNull()).unionByName(rest).select(
@@ -85,6 +91,35 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     )
 
 
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Adds the batch to the index."""
+    own = index or DigestIndex(docs.sparkSession)
+    hashed = written(digests(docs, id_col, text_col), "digests")
+    out = _told(hashed, own.add(hashed), hashed.count())
+    if index is None:
+        out = written(out, "exact")
+        own.drop()
+        dropped(hashed)
+    return out
+
+
+def exact_dedup_batches(batches: list[DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same of all batches' rows together, where of equal texts one of the earliest batch stays: a new index takes
+    them one after the other, and what it then holds of a digest is what its rows are told."""
+    spark = batches[0].sparkSession
+    index, hashed, seen = DigestIndex(spark), [], []
+    for batch in batches:
+        hashed.append(written(digests(batch, id_col, text_col), "digests"))
+        seen.append(index.add(hashed[-1]).select("digest", "rows"))
+    rows, counts = (functools.reduce(DataFrame.unionByName, x) for x in (hashed, seen))
+    counts = counts.groupBy("digest").agg(F.sum("rows").alias("rows"))
+    verdicts = written(index.read().select("digest", "keep_id").join(counts, "digest").select("digest", "keep_id", F.col("rows").alias("group_size"), "rows", F.lit(False).alias("seen")), "verdicts")
+    out = written(_told(rows, verdicts, rows.count()), "exact")
+    index.drop()
+    dropped(*hashed, verdicts)
+    return out
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, all columns as they are; of rows that repeat an id and text, one."""
     row_id, row_digest, kept_id, kept_digest, copies = unused(docs, "row_id", "row_digest", "kept_id", "kept_digest", "copies")
@@ -101,7 +136,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
+    later = F.coalesce(F.col("doc_id") <= ((least or 0) + (most or 0)) // 2, F.lit(True))
+    return exact_dedup_batches([docs.where(~later), docs.where(later)])
 
 
 ORACLE = """
