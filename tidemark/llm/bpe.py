@@ -79,9 +79,9 @@ class PairTable:
 
 
 class Codec:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: str):
+        """vocabulary: what a vocabulary file holds."""
+        spec = json.loads(vocabulary)
         byte_of, model = printable_bytes(), spec["model"]
         vocab = {token: i for token, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -238,15 +238,26 @@ def _distinct_rows(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
+def codec_of(vocabulary: str) -> Codec:
+    return Codec(vocabulary)
+
+
+def vocabulary_of(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return codec_of(vocabulary_of(path))
 
 
 def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """doc_id, ids (only with keep_ids), n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, ids (only with keep_ids), n_tokens, ids_sha256, decoded_sha256 of each row. tokenizer: the path of a
+    vocabulary file, which the driver reads and tasks get the content of."""
+    vocabulary = vocabulary_of(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(tokenizer)
+        c = codec_of(vocabulary)
         digits = c.digits
         for pdf in batches:
             piece = (np.cumsum(pdf["text"].map(len)) - 1) // CHUNK
