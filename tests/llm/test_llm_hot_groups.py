@@ -45,6 +45,23 @@ def test_documents_of_one_header(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
 
 
+def test_a_crowd_just_below_the_similarity(spark, monkeypatch):
+    """Copies that differ too much to be linked, with a few that are links, in buckets and lists of any length."""
+    rng = np.random.default_rng(7)
+    texts = {}
+    for i in range(160):
+        words = [f"t{j}" for j in range(120)]
+        for j in rng.choice(120, 16 if i % 5 else 3, replace=False):
+            words[j] = f"e{rng.integers(0, 10**6)}"
+        texts[i] = " ".join(words)
+    want = brute_force_components(texts, 2)
+    for few, short in ((64, 16), (4, 2), (4, 1000)):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        monkeypatch.setattr(near_dedup, "SHORT", short)
+        rows = near_dedup.near_dedup(frame(spark, texts), 2).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+
+
 def test_pairs_grow_in_proportion(spark):
     """Of documents that share a header, the prefix filter gives few pairs, not all of them."""
     pairs = []
@@ -52,8 +69,9 @@ def test_pairs_grow_in_proportion(spark):
         texts = with_header(n)
         docs = frame(spark, texts)
         members = docs.selectExpr("doc_id", "doc_id AS c")
-        pairs.append(near_dedup.prefix_pairs(members, docs, 2, 80).count())
-        assert pairs[-1] >= n // 10
+        found, dense = near_dedup.prefix_pairs(members, docs, 2, 80)
+        pairs.append(found.count())
+        assert pairs[-1] >= n // 10 and dense.count() == 0
     assert pairs[1] <= 8 * pairs[0] < 8 * 2000
 
 
@@ -68,8 +86,9 @@ def test_prefix_filter_loses_no_link(spark):
             words[j] = f"v{rng.integers(0, 14)}"
         texts[i] = " ".join(words)
     docs = frame(spark, texts)
-    found = {(r["u"], r["v"]) for r in near_dedup.prefix_pairs(docs.selectExpr("doc_id", "doc_id AS c"), docs, 2, 80).collect()}
+    pairs, dense = near_dedup.prefix_pairs(docs.selectExpr("doc_id", "doc_id AS c"), docs, 2, 80)
+    found, dense = {(r["u"], r["v"]) for r in pairs.collect()}, {r["doc_id"] for r in dense.collect()}
     for a in texts:
         for b in range(a + 1, 150):
             if near_dedup.alike(texts[a], texts[b], 2, 80):
-                assert (a, b) in found
+                assert (a, b) in found or {a, b} <= dense

@@ -16,7 +16,11 @@ compared further, so no link between different sets is lost to the choice of lea
   * members of larger buckets (say, documents that share a header and little else) by a prefix filter over all of them:
     sets of a similarity of percent share one of their rarest shingles, as many as the similarity lets differ and one
     more. How rare a shingle is comes from counts of all members' shingles in COUNTERS cells; any order is a right one,
-    and this one keeps the headers out of the lists. Sizes and places in the order rule out more, then the sketches.
+    and this one keeps the headers out of the lists. Lists of up to SHORT members are paired; sizes and places in the
+    order rule out more, then the sketches.
+  * what stands in a longer list too is of a crowd of documents alike but for little more than the similarity allows; such
+    members are compared with each other as those of small buckets are. Where they are no copies of each other, this is
+    the one step whose work grows with the square of a crowd: compiled sketch comparisons, from which few pairs come.
 A pair of similarity 0.8 shares a bucket with a probability of 1 - 5e-8.
 
 Defined cases: A-Z are lower-cased; a set is of distinct runs of `shingle` words (fewer words: the whole sequence, as one);
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import TO_LOWER, dropped, mix64, summed, table, unused, word_bounds, word_hashes, written
 from tidemark.llm.components import components
 
-BANDS, ROWS, SAMPLE, BITS, CHUNK, FEW, COUNTERS = 32, 4, 1024, 1024, 1 << 19, 64, 1 << 18
+BANDS, ROWS, SAMPLE, BITS, CHUNK, FEW, SHORT, COUNTERS = 32, 4, 1024, 1024, 1 << 19, 64, 16, 1 << 18
 SAMPLES = BANDS * ROWS
 HOT_SHARE = 1 / 1000
 ORDERS = [int(x) for x in mix64(np.arange(101, 105, dtype=np.uint64)) >> np.uint64(2)]
@@ -179,8 +183,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return written(pairs.join(a, "u").join(b, "v").mapInPandas(check, "u long, v long"), "links")
 
 
-def prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """members: doc_id and c, of distinct documents. Pairs u < v of different c that a prefix filter does not rule out."""
+def prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members: doc_id and c, of distinct documents. Pairs u < v of different c that a prefix filter does not rule out,
+    from the short lists; and the members that stand in a long list, whose pairs with each other may be missing."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,14 +212,17 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: in
                 yield pd.concat(out)
 
     rows = written(known.mapInPandas(prefixes, "h long, doc_id long, c long, n long, at long"), "prefixes")
-    x, y = (rows.select("h", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), F.col("at").alias(f"at{d}")) for d in "uv")
+    lists = written(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "lists")
+    short = rows.join(lists.where(F.col("m") <= SHORT).select("h"), "h")
+    x, y = (short.select("h", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"), F.col("n").alias(f"n{d}"), F.col("at").alias(f"at{d}")) for d in "uv")
     sizes = (100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu"))
-    most = F.least("atu", "atv") + 1 + F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv")) - 1  # shared shingles
+    most = F.least("atu", "atv") + F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))  # shared shingles
     enough = (100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))
     pairs = x.join(y, (x["h"] == y["h"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sizes & enough)
     out = written(pairs.select("u", "v").distinct(), "pairs")
-    dropped(known, rows)
-    return out
+    dense = written(rows.join(lists.where(F.col("m") > SHORT).select("h"), "h", "left_semi").select("doc_id").distinct(), "dense")
+    dropped(known, rows, lists)
+    return out, dense
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,15 +247,20 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     at = at.select("bucket", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     apart = at.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("bucket", "m")
     left = written(at.join(apart, "bucket"), "left")
+    crowded = left.where(F.col("m") > FEW).select("doc_id", "c").distinct()
+    near = left.where(F.col("m") <= FEW)
+    some = bool(crowded.head(1))
+    if some:
+        listed, dense = prefix_pairs(crowded, texts, shingle, percent)
+        near = near.unionByName(left.where(F.col("m") > FEW).join(dense, "doc_id", "left_semi"))
     halves = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
-    at = written(left.where(F.col("m") <= FEW).drop("m").join(reps.select("doc_id", "n", "sketch", halves.alias("keys")), "doc_id"), "apart")
+    at = written(near.drop("m").join(reps.select("doc_id", "n", "sketch", halves.alias("keys")), "doc_id"), "apart")
     x, y = (at.select("bucket", *(F.col(name).alias(short + c) for name, short in (("doc_id", ""), ("c", "c"), ("n", "n"), ("sketch", "s"), ("keys", "k")))) for c in "uv")
     first_shared = F.coalesce(*(F.when(F.col("ku")[i] == F.col("kv")[i], F.lit(i)) for i in range(BANDS)))
     cross = (x["bucket"] == y["bucket"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & likely & (first_shared == x["bucket"].bitwiseAND(BANDS - 1))
     rest = x.join(y, cross).select("u", "v")
-    crowded = left.where(F.col("m") > FEW).select("doc_id", "c").distinct()
-    if crowded.head(1):
-        rest = rest.unionByName(prefix_pairs(crowded, texts, shingle, percent).join(a, "u").join(b, "v").where(likely).select("u", "v"))
+    if some:
+        rest = rest.unionByName(listed.join(a, "u").join(b, "v").where(likely).select("u", "v"))
     rest = written(rest.distinct(), "rest")
     if rest.head(1):
         more = confirm(rest, texts, shingle, percent)
