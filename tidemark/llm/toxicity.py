@@ -42,6 +42,8 @@ SAMPLE, WORD_BUCKETS, GRAM_BUCKETS, VECTOR_BUCKETS, SMOOTH, FEW = 2000, 1 << 17,
 LONGEST, EACH, ROUNDS, EPOCHS, BATCH, RATE, DECAY, VECTOR_DECAY = 20_000, 24, 3, 6, 128, 0.01, 1e-4, 3e-2
 #: How much text is held at a time: characters of a chunk of texts, bytes of one text, words of a block of a longer one.
 CHUNK, PIECE, BLOCK, LONGEST_WORD = 1 << 20, 1 << 20, 1 << 16, 1024
+#: Distinct words whose 4-grams are hashed at a time.
+SLICE = 1 << 14
 INPUT = 4 + 2 * VECTOR
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -85,26 +87,37 @@ class Words:
     def __init__(self, texts: list[str | bytes]):
         raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b" ".join(raw) + b" "
+        sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+        del raw
         data = TO_LOWER[np.frombuffer(self.data, dtype=np.uint8)]
         starts, ends = word_edges(data)
         self.start, self.end = starts, ends
-        hashes = word_hashes(data, starts, ends)
-        distinct, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self.text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
-        self.bucket = (distinct % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        self.vector = (distinct >> np.uint64(40)).astype(np.int64) % VECTOR_BUCKETS
-        length = (ends - starts)[first]
-        self.first = np.cumsum(length) - length
-        at = np.arange(int(length.sum())) + np.repeat(starts[first] - self.first, length)
-        pos = np.arange(len(at)) - np.repeat(self.first, length)
+        distinct, first, word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
+        del word
+        self.text = np.searchsorted(np.cumsum(sizes), starts, side="right").astype(np.int32)
+        self.bucket = (distinct % np.uint64(WORD_BUCKETS)).astype(np.int32)
+        self.vector = ((distinct >> np.uint64(40)) % np.uint64(VECTOR_BUCKETS)).astype(np.int32)
+        self.length = (ends - starts)[first].astype(np.int32)
+        self.first = np.cumsum(self.length) - self.length
+        self.gram = np.empty(int(self.length.sum()), dtype=np.int32)
+        self.gram_vector = np.empty(len(self.gram), dtype=np.int32)
+        padded = np.concatenate([[np.uint8(32)], data, np.full(2, 32, dtype=np.uint8)])
+        for at in range(0, len(distinct), SLICE):
+            self._grams(padded, starts[first[at : at + SLICE]], self.length[at : at + SLICE], int(self.first[at]))
+
+    def _grams(self, padded: np.ndarray, starts: np.ndarray, length: np.ndarray, into: int) -> None:
+        """Sets the 4-grams of some distinct words, the first of which is at place into."""
+        begin = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) + np.repeat(starts - begin, length)
+        pos = np.arange(len(at)) - np.repeat(begin, length)
         left = np.repeat(length, length) - pos  # letters from here to the word's end
-        padded = np.concatenate([[np.uint8(32)], data, np.full(2, 32, dtype=np.uint8)]).astype(np.uint64)
-        space = np.uint64(32)
-        b = [np.where(pos > 0, padded[at], space), padded[at + 1], np.where(left > 1, padded[np.minimum(at + 2, len(padded) - 1)], space), np.where(left > 2, padded[np.minimum(at + 3, len(padded) - 1)], space)]
+        space, end = np.uint8(32), len(padded) - 1
+        b = [np.where(pos > 0, padded[at], space), padded[at + 1], np.where(left > 1, padded[np.minimum(at + 2, end)], space), np.where(left > 2, padded[np.minimum(at + 3, end)], space)]
+        b = [x.astype(np.uint64) for x in b]
         gram = mix64(b[0] << np.uint64(24) | b[1] << np.uint64(16) | b[2] << np.uint64(8) | b[3])
-        self.gram = (gram % np.uint64(GRAM_BUCKETS)).astype(np.int64)
-        self.gram_vector = (gram >> np.uint64(40)).astype(np.int64) % VECTOR_BUCKETS
-        self.length = length
+        self.gram[into : into + len(gram)] = gram % np.uint64(GRAM_BUCKETS)
+        self.gram_vector[into : into + len(gram)] = (gram >> np.uint64(40)) % np.uint64(VECTOR_BUCKETS)
 
     def mean(self, values: np.ndarray) -> np.ndarray:
         """The mean over each distinct word's 4-grams."""
@@ -466,7 +479,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = written(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")  # of rows that repeat an id, one
     got = bounded(rows, longest).toPandas().sort_values("doc_id")
     dropped(present, rows)
-    return train([list(p) for p in got["parts"]], got["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
+    parts, toxic = [list(p) for p in got["parts"]], got["y"].to_numpy(copy=True)
+    del got
+    return train(parts, toxic, counts[1] / (counts[0] + counts[1]))
 
 
 def bounded(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
